@@ -45,4 +45,4 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", limit:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size, from file sizes; reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

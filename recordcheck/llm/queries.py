@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from recordcheck.llm.exact import OP8_SQL, op8_exact_dedup
+from recordcheck.llm.packing import op3_packing
 from recordcheck.llm.simhash import op2_simhash
+from recordcheck.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": OP8_SQL,
+}
