@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from recordcheck.llm.exact import OP8_SQL, op8_exact_dedup
+from recordcheck.llm.html import op5_html
 from recordcheck.llm.packing import op3_packing
 from recordcheck.llm.simhash import op2_simhash
 from recordcheck.llm.toxicity import op10_toxicity
+from recordcheck.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op5_html": op5_html,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
