@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from recordcheck.llm.exact import OP8_SQL, op8_exact_dedup
 from recordcheck.llm.html import op5_html
+from recordcheck.llm.licenses import OP9_SQL, op9_licenses
+from recordcheck.llm.minhash import op7_minhash
 from recordcheck.llm.packing import op3_packing
 from recordcheck.llm.simhash import op2_simhash
 from recordcheck.llm.toxicity import op10_toxicity
@@ -14,11 +16,14 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op5_html": op5_html,
+    "op7_minhash": op7_minhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_licenses": OP9_SQL,
 }
