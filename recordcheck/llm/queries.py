@@ -6,7 +6,9 @@ from recordcheck.llm.exact import OP8_SQL, op8_exact_dedup
 from recordcheck.llm.html import op5_html
 from recordcheck.llm.licenses import OP9_SQL, op9_licenses
 from recordcheck.llm.minhash import op7_minhash
+from recordcheck.llm.ngrams import OP4_SQL, op4_backoff
 from recordcheck.llm.packing import op3_packing
+from recordcheck.llm.pieces import op6_pieces
 from recordcheck.llm.simhash import op2_simhash
 from recordcheck.llm.toxicity import op10_toxicity
 from recordcheck.llm.warc import OP1_SQL, op1_warc
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_backoff": op4_backoff,
     "op5_html": op5_html,
+    "op6_pieces": op6_pieces,
     "op7_minhash": op7_minhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_licenses": op9_licenses,
@@ -24,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op4_backoff": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_licenses": OP9_SQL,
 }
