@@ -266,7 +266,7 @@ def near_groups(marked: DataFrame, id_col: str = "doc_id", radius: int = 4, bloc
     linked = connected_components(fingerprint_links(firsts.select("node", *marks), radius, blocks, equal, CHUNK, wide_radius), "simhash-components")
     named = firsts.select("node", "__first").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "simhash-named")
-    least = named.groupBy("root").agg(F.min("__first").alias("component_id"))
+    least = materialize(named.groupBy("root").agg(F.min("__first").alias("component_id")), "simhash-least")
     labels = materialize(named.join(least, "root").select(F.col("node").alias("__node"), "component_id"), "simhash-labels")
     return marked.withColumn("__node", node).join(labels, "__node", "left").drop("__node", *marks[1:])
 
@@ -284,9 +284,12 @@ def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 6, wide: int
     marked = materialize(fingerprints(tied, words, extra=("__tie",), wide=wide), "simhash-fingerprints")
     grouped = near_groups(marked, radius=radius, blocks=radius + 2, equal=2, wide_radius=wide_radius)
     grouped = materialize(grouped.select("doc_id", "__tie", "component_id"), "simhash-groups")
-    ties = grouped.filter("doc_id = component_id").groupBy("component_id").agg(F.min("__tie").alias("__least"))
-    stays = F.col("component_id").isNull() | (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) & (F.col("__tie") == F.col("__least")))
-    gone = grouped.join(ties, "component_id", "left").filter(~stays).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), "__tie").distinct()
+    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    heads = grouped.filter(first)  # one row for most components: only these need to be told apart
+    least = heads.groupBy("component_id").agg(F.min("__tie").alias("__least"))
+    tied_heads = heads.join(least, "component_id").filter(F.col("__tie") != F.col("__least")).drop("__least")
+    gone = grouped.filter(~first & F.col("component_id").isNotNull()).unionByName(tied_heads)
+    gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), "__tie").distinct()
     gone = materialize(gone, "simhash-gone")
     keyed = tied.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__none", F.col("doc_id").isNull())
     return join_sized(keyed, gone, ["__id", "__none", "__tie"], "left_anti").select(*docs.columns)
