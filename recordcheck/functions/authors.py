@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -19,6 +18,20 @@ from recordcheck.schema import AUTHOR, AUTHORS
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "da", "di", "du", "le", "la", "dos", "das", "ter", "ten", "bin", "al")
 
 
+def remembered(function: Callable) -> Callable:
+    """Keeps results of a function of strings; a plain closure, as executors get functions by value."""
+    known: dict = {}
+
+    def call(*arguments: str):
+        if arguments not in known:
+            if len(known) >= 100_000:
+                known.clear()
+            known[arguments] = function(*arguments)
+        return known[arguments]
+
+    return call
+
+
 class Author(NamedTuple):
     family: str
     given: str = ""
@@ -85,19 +98,19 @@ def split_display_name(name: str | None) -> Author:
     return Author(" ".join(words[last:]), " ".join(words[:last]))
 
 
-@lru_cache(maxsize=100_000)
+@remembered
 def name_key(text: str) -> str:
     return re.sub("[^a-z]", "", fold_diacritics(latex_to_unicode(text)).lower())
 
 
-@lru_cache(maxsize=100_000)
+@remembered
 def _given(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Initials and full given names."""
     words = [w for w in re.split(r"[\s.-]+", fold_diacritics(latex_to_unicode(text))) if w]
     return tuple(w[0].lower() for w in words), tuple(w.lower() for w in words if len(w) > 1)
 
 
-@lru_cache(maxsize=200_000)
+@remembered
 def edit_ratio(a: str, b: str) -> float:
     if not a or not b:
         return float(not a and not b)
