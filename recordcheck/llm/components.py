@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from recordcheck.llm.common import materialize
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One half-round over edges (u > v). Minima are pre-aggregated on the map side; the join back may be split by AQE."""
+def _stars(edges: DataFrame, large: bool, label: str) -> DataFrame:
+    """One half-round over edges (u > v). Minima are pre-aggregated on the map side and stored, so that the join back shuffles
+    both sides and AQE can split a node with a large share of the edges."""
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, label)
     met = sides.join(least, "u")
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,7 +38,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     edges = materialize(edges, label)
     before = _mark(edges)
     while before[0]:
-        edges = materialize(_stars(_stars(edges, True), False), label)
+        edges = materialize(_stars(_stars(edges, True, label), False, label), label)
         now = _mark(edges)
         if now == before:
             break
