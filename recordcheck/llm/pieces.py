@@ -9,7 +9,6 @@ piece ends at some forced position, the matrix is an outer sum of two vectors, w
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ SPACE = "▁"
 #: Code points of a chunk; longer texts are scanned chunk by chunk in tasks of their own. Chunks of a block that is combined.
 CHUNK, BLOCK = 1 << 16, 256
 #: Segments whose best pieces a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: What a character outside the vocabulary scores below the least piece.
 UNKNOWN = 10.0
 
@@ -38,20 +37,25 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.vocab_size()
-        self.bytes = {int(sp.id_to_piece(k)[3:5], 16): k for k in range(size) if sp.is_byte(k)}
+        code = [k.to_bytes(4, "little") for k in range(size)]
+        self.bytes = {int(sp.id_to_piece(k)[3:5], 16): code[k] for k in range(size) if sp.is_byte(k)}
         skip = lambda k: sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)
-        self.of = {sp.id_to_piece(k): (k, sp.get_score(k)) for k in range(size) if not skip(k)}
-        self.unknown_id = sp.unk_id()
-        self.unknown = min((s for _, s in self.of.values()), default=0.0) - UNKNOWN
+        names = {k: sp.id_to_piece(k) for k in range(size) if not skip(k)}
+        self.of = {p: sp.get_score(k) for k, p in names.items()}
+        self.code = {p: code[k] for k, p in names.items()}
+        self.unknown_code = code[sp.unk_id()]
+        self.unknown = min(self.of.values(), default=0.0) - UNKNOWN
         self.longest = max(map(len, self.of), default=1)
-        names = {k: p for p, (k, _) in self.of.items()}
-        values = {k: b for b, k in self.bytes.items()}
+        values = {int.from_bytes(c, "little"): b for b, c in self.bytes.items()}
         self.raw = [bytes([values[k]]) if k in values else names.get(k, "").replace(SPACE, " ").encode() for k in range(size)]
+        # Beginnings of pieces score as no path does, so that a search along the text knows where to end.
+        for p in names.values():
+            for k in range(1, len(p)):
+                self.of.setdefault(p[:k], -np.inf)
         # Before a space mark that follows another character every segmentation is cut, if no piece reaches over that.
-        forced = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.of)
+        forced = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in names.values())
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if forced else r"[\s\S]+")
-        self.ids: dict[str, bytes] = {}
-        self.scores: dict[str, float] = {}
+        self.known: dict[str, tuple[bytes, float]] = {}
 
     @staticmethod
     def normalize(text: str | None) -> str:
@@ -63,48 +67,46 @@ class Pieces:
         stop = len(text) if stop is None else stop
         best, begin = [-np.inf] * (len(text) + 1), [-1] * (len(text) + 1)
         best[start] = 0.0
-        of, longest, unknown = self.of, self.longest, self.unknown
+        of, longest, unknown, lost = self.of, self.longest, self.unknown, -np.inf
         for i in range(start, stop):
             here = best[i]
             if here == -np.inf:
                 continue
-            if text[i] not in of and here + unknown > best[i + 1]:
+            if of.get(text[i], lost) == lost and here + unknown > best[i + 1]:
                 best[i + 1], begin[i + 1] = here + unknown, i
             for j in range(i + 1, min(i + longest, len(text)) + 1):
-                piece = of.get(text[i:j])
-                if piece is not None and here + piece[1] > best[j]:
-                    best[j], begin[j] = here + piece[1], i
+                score = of.get(text[i:j])
+                if score is None:
+                    break
+                if here + score > best[j]:
+                    best[j], begin[j] = here + score, i
         return best, begin
 
     def trace(self, text: str, begin: list[int], end: int) -> bytes:
-        out: list[int] = []
+        out: list[bytes] = []
         while (start := begin[end]) >= 0:
-            piece = self.of.get(text[start:end])
-            if piece is not None:
-                out.append(piece[0])
+            code = self.code.get(text[start:end])
+            if code is not None:
+                out.append(code)
             elif self.bytes:
                 out += [self.bytes[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass"))]
             else:
-                out.append(self.unknown_id)
+                out.append(self.unknown_code)
             end = start
-        return np.array(out[::-1], "<u4").tobytes()
+        return b"".join(reversed(out))
 
-    def learn(self, segment: str) -> None:
-        if len(self.ids) >= REMEMBERED:
-            self.ids.clear()
-            self.scores.clear()
+    def learn(self, segment: str) -> tuple[bytes, float]:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
         best, begin = self.paths(segment)
-        self.ids[segment], self.scores[segment] = self.trace(segment, begin, len(segment)), best[-1]
+        found = self.known[segment] = self.trace(segment, begin, len(segment)), best[-1]
+        return found
 
     def encode(self, text: str) -> tuple[bytes, float]:
         """Ids (little-endian, four bytes each) and score of the best segmentation of normalised text."""
-        ids, scores, total = [], self.scores, 0.0
-        for s in self.segments.findall(text):
-            if s not in scores:
-                self.learn(s)
-            ids.append(self.ids[s])
-            total += scores[s]
-        return b"".join(ids), total
+        get, learn = self.known.get, self.learn
+        found = [get(s) or learn(s) for s in self.segments.findall(text)]
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found])
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -256,38 +258,43 @@ def scan_encode(long: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     return cut.join(states, ["row", "chunk"]).select("row", "chunk", "size", "text", "before", "after").mapInArrow(_between(path), "row bigint, chunk bigint, ids binary, score double")
 
 
-def _whole(path: str, fields: list[str]):
+def _whole(path: str, fields: list[str], at: int, check: bool):
+    """Rows with a text at a place -> with ids and score, and with the text that the ids decode to if `check`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                got = [pieces.encode(pieces.normalize(t)) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.float64())], names=[*fields, "ids", "score"])
+                got = [pieces.encode(pieces.normalize(t)) for t in part.column(at).cast(pa.string()).to_pylist()]
+                made = [pa.array([g[0] for g in got], pa.binary()), pa.array([float(g[1]) for g in got])]
+                back = [pa.array([pieces.decode(g[0]) for g in got], pa.string())] if check else []
+                yield pa.RecordBatch.from_arrays([*part.columns, *made, *back], names=[*fields, "ids", "score", *["decoded"] * check])
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Rows of docs with ids (little-endian, four bytes each) and score, which replace columns of these names.
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """Rows of docs with ids (little-endian, four bytes each) and score, which replace columns of these names; with `check`
+    also decoded, as `decode` gives it, without a second pass over the ids of texts that are not scanned.
 
     The model's pieces and scores are taken as a unigram model: ids are those of a segmentation with the largest summed
     score (of several with the same score, any one). Characters outside the vocabulary become bytes where the model has them, else its unknown id. Null and empty
     texts have no ids and score 0. Texts over `chunk` code points are scanned in chunks, spread over tasks.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    own = docs.select(*[c for c in docs.columns if c not in ("ids", "score")])
+    own = docs.select(*[c for c in docs.columns if c not in ("ids", "score", *["decoded"] * check)])
     long = F.coalesce(F.char_length(F.col(text_col).cast("string")) >= chunk, F.lit(False))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields)
-    short_rows = own.filter(~long).withColumn("__text", F.col(text_col).cast("string"))
-    short = short_rows.mapInArrow(_whole(path, own.columns), f"{fields}ids binary, score double")
+    run = _whole(path, own.columns, own.columns.index(text_col), check)
+    short = own.filter(~long).mapInArrow(run, f"{fields}ids binary, score double" + ", decoded string" * check)
     kept = materialize(own.filter(long).withColumn("__row", F.monotonically_increasing_id()), "pieces-long")
     parts = scan_encode(kept.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), path, chunk)
     joined = parts.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("chunk", "ids", "score"))).alias("__parts"))
     ids = F.aggregate("__parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"]))
     score = F.aggregate("__parts", F.lit(0.0), lambda acc, p: acc + p["score"])
     whole = kept.join(joined, "__row").select(*own.columns, ids.alias("ids"), score.alias("score"))
-    return short.unionByName(whole)
+    return short.unionByName(decode(whole, path) if check else whole)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -312,9 +319,5 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(x) for x in ids])
-
-    back = decode(encode(docs))
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), crc("ids").alias("ids_crc32"), F.round("score", 3).alias("score"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    back = encode(docs, check=True)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.round("score", 3).alias("score"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
