@@ -24,7 +24,7 @@ SPACE = "▁"
 #: Code points of a chunk; longer texts are scanned chunk by chunk in tasks of their own. Chunks of a block that is combined.
 CHUNK, BLOCK = 1 << 16, 256
 #: Segments whose best pieces a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: What a character outside the vocabulary scores below the least piece.
 UNKNOWN = 10.0
 
