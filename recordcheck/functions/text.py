@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordcheck.functions.arrow import arrow_function
+from recordcheck.functions.binding import bound
 from recordcheck.functions.latex import latex_to_unicode
 
 # Words that a citation key's keyword passes over.
@@ -55,29 +56,37 @@ def words(norm: str | Column) -> Column:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance of the first 2000 characters over the longer length; null counts as empty."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    longest = F.greatest(F.char_length(a), F.char_length(b))
-    cut = longest > EDIT_CHARS
-    distance = F.when(a == b, 0).when(cut, F.levenshtein(F.substring(a, 1, EDIT_CHARS), F.substring(b, 1, EDIT_CHARS))).otherwise(F.levenshtein(a, b))
-    return F.when(longest == 0, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - distance / longest)
+
+    def of(a: Column, b: Column) -> Column:
+        longest = F.greatest(F.char_length(a), F.char_length(b))
+        distance = F.when(longest > EDIT_CHARS, F.levenshtein(F.substring(a, 1, EDIT_CHARS), F.substring(b, 1, EDIT_CHARS))).otherwise(F.levenshtein(a, b))
+        return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - distance / longest)
+
+    return bound(of, F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Dice coefficient of two token lists as multisets."""
     count = lambda items, item: F.size(F.filter(items, lambda x: x == item))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * common / total)
+
+    def of(a: Column, b: Column) -> Column:
+        common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
+        total = F.size(a) + F.size(b)
+        return F.when(total == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * common / total)
+
+    return bound(of, a, b)
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Of two comparison forms: tokens and edits blended; a main title without its subtitle is forgiven. Empty gives 0."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    blend = 0.6 * token_similarity(words(a), words(b)) + 0.4 * edit_similarity(a, b)
-    shorter = F.least(F.char_length(a), F.char_length(b))
-    prefix = (shorter >= 20) & (F.startswith(a, b) | F.startswith(b, a))
-    forgiven = F.when(prefix, F.greatest(blend, F.lit(0.9))).otherwise(blend)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), forgiven)))
+
+    def of(a: Column, b: Column) -> Column:
+        blend = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * token_similarity(words(a), words(b)) + 0.4 * edit_similarity(a, b)))
+        shorter = F.least(F.char_length(a), F.char_length(b))
+        least = F.when((shorter >= 20) & (F.startswith(a, b) | F.startswith(b, a)), 0.9).otherwise(0.0)
+        return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(blend, least))
+
+    return bound(of, F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 #: The notice word must be followed by one of a few words or signs, with nothing asked of what comes after those.

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordcheck.functions.arrow import arrow_function
+from recordcheck.functions.binding import bound
 from recordcheck.functions.latex import latex_to_unicode
 from recordcheck.functions.text import fold_diacritics, normalized, token_similarity, words
 
@@ -67,6 +68,10 @@ def venue_keys(venue: str | Column, short: Column | None = None) -> Column:
 
 def venue_similarity(a: Column, b: Column) -> Column:
     """Of two venue_keys. Venues of noise words alone are alike; a missing one gives 0."""
+    return bound(_venue_similarity, a, b)
+
+
+def _venue_similarity(a: Column, b: Column) -> Column:
     dice = token_similarity(a["core"], b["core"])
     names = lambda x, y: F.arrays_overlap(x["acronyms"], F.concat(y["acronyms"], y["core"], F.transform(y["initialisms"], lambda i: F.when(F.char_length(i) >= 3, i))))
     named = F.coalesce(names(a, b), F.lit(False)) | F.coalesce(names(b, a), F.lit(False))
@@ -74,8 +79,9 @@ def venue_similarity(a: Column, b: Column) -> Column:
     a_first = F.size(a["core"]) <= F.size(b["core"])
     small, big = F.when(a_first, a["core"]).otherwise(b["core"]), F.when(a_first, b["core"]).otherwise(a["core"])
     contained = (F.size(small) > 0) & within(small, big)
-    best = F.greatest(dice, F.when(contained, 0.85).otherwise(0.0), F.when(named, 0.9).otherwise(0.0))
-    return F.when(~a["present"] | ~b["present"], 0.0).when((dice >= 0.999) | (a["arxiv"] & b["arxiv"]), 1.0).otherwise(best)
+    least = F.greatest(F.when(contained, 0.85).otherwise(0.0), F.when(named, 0.9).otherwise(0.0))
+    alike = bound(lambda dice: F.when((dice >= 0.999) | (a["arxiv"] & b["arxiv"]), 1.0).otherwise(F.greatest(dice, least)), dice)
+    return F.when(~a["present"] | ~b["present"], 0.0).otherwise(alike)
 
 
 def is_preprint_venue(venue: str | Column) -> Column:
