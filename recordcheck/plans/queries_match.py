@@ -324,9 +324,9 @@ def candidate_selection(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_brand, p_size / 50.0 AS s, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS n FROM part),
+    """WITH t AS (SELECT p_partkey, p_brand, round((p_size / 50.0)::DOUBLE, 3) AS s, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS n FROM part),
     b AS (SELECT p_brand, max(s) AS top, min(p_partkey) FILTER (WHERE n = 1) AS best, max(s) FILTER (WHERE n > 1) AS second FROM t GROUP BY p_brand)
-    SELECT p_brand, best, CASE WHEN top < 0.7 THEN 'weak' WHEN second >= 0.7 AND round(top - second, 9) < 0.06 THEN 'ambiguous' ELSE 'chosen' END AS outcome FROM b"""
+    SELECT p_brand, best, CASE WHEN top < 0.7 THEN 'weak' WHEN second >= 0.7 AND top - second < 0.06::DOUBLE THEN 'ambiguous' ELSE 'chosen' END AS outcome FROM b"""
 )
 def ambiguity_gap(spark, sf_dir):
     """Parts of a brand as distinct candidates, scored by size: best, runner-up and the gap between."""
