@@ -44,5 +44,7 @@ def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", limit:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size, from file sizes; reads no data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of a plan's size, from file sizes; reads no data. A plan without one, such as rows from the driver,
+    counts as 64 MB for each shuffle partition."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (64 << 20)
