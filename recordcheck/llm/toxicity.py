@@ -86,7 +86,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     hidden = tokens = 0
     for m in OBFUSCATED.findall(text.lower()):
         tokens += 1
-        hidden += lexicon.weight("".join(WORD.findall(m.translate(LEET)))) > 0
+        hidden += lexicon.weight("".join(WORD.findall(m.rstrip(".,;:!?|+*-_").translate(LEET)))) > 0
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     at = np.array(you)
     near = sum(bool(len(at)) and int(np.abs(at - i).min()) <= NEAR for i in where)
