@@ -129,7 +129,7 @@ def search_titles(wanted: DataFrame, works: DataFrame, limit: int, least: float
     pairs = pairs.withColumn("similarity", title_similarity(F.col("title_a"), F.col("title_b"))).filter(F.col("similarity") >= least)
     hits = wanted.join(pairs, wanted["norm_title"] == pairs["title_a"]).select("citation_id", "title_b", "similarity")
     rows = hits.join(works.withColumnRenamed("norm_title", "title_b"), "title_b")
-    order = Window.partitionBy("citation_id").orderBy(F.desc("similarity"), F.col("title_b"), F.to_json("work"))
+    order = Window.partitionBy("citation_id").orderBy(F.desc("similarity"), F.col("title_b"), F.xxhash64("work"))
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("citation_id", "place", "similarity", "work")
 
 
