@@ -1,0 +1,183 @@
+"""Links between texts of a Jaccard similarity over word shingles, exact: a prefix filter finds all candidates.
+
+Of each set of n distinct shingles, put in one order for all sets, the first n - ceil(s n) + 1 are keys: two sets of a
+similarity of s or more share one. Any order is right; shingles that a sample finds to be common come last, so that few
+sets share a key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recordcheck.llm.common import join_sized, materialize
+from recordcheck.llm.components import connected_components
+from recordcheck.llm.simhash import shingle_hashes
+
+#: One in so many texts is sampled for common shingles, which are those of so many sampled texts; at most so many are kept.
+SAMPLE, COMMON, MOST = 8, 3, 1 << 18
+#: Texts whose shingles a task holds at once, and star rounds before the pairs that are left.
+SLICE, ROUNDS = 512, 2
+
+
+def _sets(words: int):
+    """Rows (node, text) -> (node, shingles): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
+
+
+def _prefixes(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """Rows (node, text) -> (key, n, node): the prefix of each text's n distinct shingles. A text without words has key 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                found = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
+                size = np.array([len(h) for h in found])
+                hashes = np.concatenate([h if len(h) else np.zeros(1, np.uint64) for h in found]).view(np.int64)
+                rows = np.maximum(size, 1)
+                owner = np.repeat(np.arange(len(found)), rows)
+                weight = np.zeros(len(hashes), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    weight = np.where(common[at] == hashes, counts[at], 0)
+                order = np.lexsort((hashes, weight, owner))
+                rank = np.arange(len(hashes)) - np.repeat(np.cumsum(rows) - rows, rows)
+                kept = rank < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]
+                node = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[order[kept]]), pa.array(size[owner[kept]].astype(np.int32)), pa.array(node[owner[kept]])], names=["key", "n", "node"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, node) sorted by key and node -> those whose key has two nodes or more, each once."""
+    names = ["key", "n", "node"]
+    last = None  # (key, n, node, whether the row before has its key): it waits for the next row
+
+    def batch(key: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(node)], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, n, node = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        before = False
+        if last is not None:
+            key, n, node = np.r_[last[0], key], np.r_[last[1], n].astype(np.int32), np.r_[last[2], node]
+            before = last[3]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, n, node = key[new], n[new], node[new]
+        same = key[1:] == key[:-1]
+        held = np.r_[before, same] | np.r_[same, False]
+        last = key[-1], n[-1], node[-1], bool(same[-1]) if len(same) else before
+        yield batch(key[:-1][held[:-1]], n[:-1][held[:-1]], node[:-1][held[:-1]])
+    if last is not None and last[3]:
+        yield batch(*(np.array([x]) for x in last[:3]))
+
+
+def _bits(words: int):
+    """Rows (node, text) -> (node, bits): a bit for each distinct shingle, in a power of two of over twice as many bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part, found = batch.slice(k, SLICE), []
+                for t in part.column(1).to_pylist():
+                    h = np.unique(shingle_hashes(t, words))
+                    width = 64 << max(0, (2 * len(h)).bit_length() - 6)
+                    flags = np.zeros(width, bool)
+                    flags[h & np.uint64(width - 1)] = True
+                    found.append(np.packbits(flags, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "bits"])
+
+    return run
+
+
+def _possible(similarity: float):
+    """Pairs (u, v, n, m, a, b), n and m the sizes of sets with bits a and b -> those that may have the similarity.
+
+    A bit that only one set has is a shingle that only it has, so a pair that is dropped cannot have the similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] | x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] | y[len(y) // 2 :]
+                both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+                kept.append(both >= similarity * (n + m - both) - 1e-9)
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
+
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, bits: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Pairs (u, v, n, m) whose sets have at least the similarity; two empty sets have. Sets are only built for pairs whose
+    bits leave it open."""
+    marked = pairs.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("a")), "u").join(bits.select(F.col("node").alias("v"), F.col("bits").alias("b")), "v")
+    open_ = materialize(marked.select("u", "v", "n", "m", "a", "b").mapInArrow(_possible(similarity), "u bigint, v bigint"), "jaccard-open")
+    wanted = materialize(open_.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "jaccard-nodes")
+    texts = join_sized(rows, wanted, ["node"], "left_semi").select("node", "text")
+    sets = materialize(texts.mapInArrow(_sets(words), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "jaccard-sets")
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return open_.join(left, "u").join(right, "v").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def similar_components(rows: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(node long, text) -> (node, root): for every node with a similar smaller one, the smallest that links reach.
+
+    Links are all pairs of the similarity or more. Rows of one node must have one text. First, stars: each key's nodes are
+    compared with one of them, then, where components still meet in a key, with another; at last all pairs of one key that
+    are still in different components. Sets of which one is too small for the other are never compared. `rows` should be a
+    stored table: it is read more than once.
+    """
+    sample = rows.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(_sets(words), "node bigint, shingles array<bigint>")
+    often = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    seen = often.orderBy(F.desc("n"), "key").limit(MOST).toArrow()
+    common, counts = (seen.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+    order = np.argsort(common)
+    keys = rows.mapInArrow(_prefixes(words, similarity, common[order], counts[order]), "key bigint, n int, node bigint")
+    placed = materialize(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, n int, node bigint"), "jaccard-keys")
+    wanted = materialize(placed.select("node").distinct(), "jaccard-nodes")
+    texts = join_sized(rows, wanted, ["node"], "left_semi").select("node", "text")
+    bits = materialize(texts.mapInArrow(_bits(words), "node bigint, bits binary").dropDuplicates(["node"]), "jaccard-bits")
+    near = lambda a, b: (a >= similarity * b - 1e-9) & (b >= similarity * a - 1e-9)
+    links, roots, own = None, None, placed.withColumn("root", F.col("node"))
+    for k in range(ROUNDS + 1):
+        if k:
+            own = placed.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+            mixed = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+            own = materialize(own.join(mixed, "key"), "jaccard-placed")
+        if k < ROUNDS:
+            mark = F.xxhash64("node", F.lit(k))
+            other = own.groupBy("key").agg(F.min_by(F.struct("n", "node", "root"), mark).alias("c")).select("key", F.col("c.n").alias("m"), F.col("c.node").alias("v"), F.col("c.root").alias("s"))
+            met = own.join(other, "key").filter("root <> s")
+        else:
+            other = own.select("key", F.col("n").alias("m"), F.col("node").alias("v"), F.col("root").alias("s"))
+            met = own.join(other, "key").filter("root < s")
+        swap = F.col("node") < F.col("v")
+        ends = [F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m")]
+        pairs = met.filter(near(F.col("n"), F.col("m"))).select(*ends).distinct()
+        found = materialize(_verified(pairs, rows, bits, similarity, words), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links, "jaccard-components")
+    return roots

@@ -271,19 +271,26 @@ def near_groups(marked: DataFrame, id_col: str = "doc_id", radius: int = 4, bloc
     return marked.withColumn("__node", node).join(labels, "__node", "left").drop("__node", *marks[1:])
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 6, wide: int = 4, wide_radius: int = 44) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """documents -> the rows that stay: one of each group of near copies, that with the smallest doc_id.
 
-    Candidates differ in `radius` or fewer bits of a SimHash of their distinct words, which scattered edits change little.
-    A link also needs the shingle SimHash of 64 * wide bits to differ in `wide_radius` or fewer: 44 of 256 bits is the
-    angle of a Jaccard similarity of 0.8 over word shingles and one standard error. Rows of one group that also share
-    doc_id are ordered by a hash of the text; rows alike in both are alike in all that is compared, and stay together. A
-    row with a null doc_id goes only if its group has another.
+    Near copies have a Jaccard similarity of `similarity` or more over word shingles, and groups are what they connect. All
+    such pairs are found: no SimHash radius that the index can serve reaches them, as a passage added to a text turns some
+    ten of 64 bits at 0.8. Rows of one group that also share doc_id are ordered by a hash of the text; rows alike in both
+    are alike in all that is compared, and stay together. A row with a null doc_id goes only if its group has another.
     """
-    tied = docs.withColumn("__tie", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    marked = materialize(fingerprints(tied, words, extra=("__tie",), wide=wide), "simhash-fingerprints")
-    grouped = near_groups(marked, radius=radius, blocks=radius + 2, equal=2, wide_radius=wide_radius)
-    grouped = materialize(grouped.select("doc_id", "__tie", "component_id"), "simhash-groups")
+    from recordcheck.llm.jaccard import similar_components
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tied = docs.withColumn("__tie", F.xxhash64(text))
+    roots = similar_components(tied.select(F.col("__tie").alias("node"), text.alias("text")), similarity, words)
+    rows = tied.select("doc_id", "__tie")
+    firsts = rows.groupBy("__tie").agg(F.min("doc_id").alias("__first"))
+    named = firsts.join(roots.withColumnRenamed("node", "__tie"), "__tie", "left").withColumn("root", F.coalesce("root", "__tie"))
+    named = materialize(named, "jaccard-named")
+    least = materialize(named.groupBy("root").agg(F.min("__first").alias("component_id")), "jaccard-least")
+    labels = materialize(named.join(least, "root").select("__tie", "component_id"), "jaccard-labels")
+    grouped = materialize(rows.join(labels, "__tie"), "jaccard-groups")
     first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     heads = grouped.filter(first)  # one row for most components: only these need to be told apart
     least = heads.groupBy("component_id").agg(F.min("__tie").alias("__least"))

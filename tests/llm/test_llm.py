@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import SF, same_rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from recordcheck.llm import exact, html, licenses, minhash, ngrams, packing, pieces, simhash, toxicity, warc  # noqa: E402
+from recordcheck.llm import exact, html, jaccard, licenses, minhash, ngrams, packing, pieces, simhash, toxicity, warc  # noqa: E402
 from recordcheck.llm.common import fresh_path, materialize, table  # noqa: E402
 from recordcheck.llm.components import connected_components  # noqa: E402
 from recordcheck.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
@@ -122,6 +123,33 @@ def test_near_copies_go(spark, awkward, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_are_those_of_the_jaccard_similarity(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    common = fresh(60)
+    texts = []
+    for n in (60, 200, 1000):
+        for share in (0.05, 0.1, 0.15, 0.19, 0.22, 0.3):
+            for _ in range(3):
+                base, k, at = fresh(n), int(n * share), r.randrange(n // 2)
+                texts += [base, base + fresh(k), base[k:], base[:at] + fresh(k // 2) + base[at + k // 2 :], common + base[: n // 2], common + fresh(n // 10)]
+    texts = list(dict.fromkeys(" ".join(t) for t in texts))
+    r.shuffle(texts)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = np.unique(simhash.local_roots(len(texts), *np.array(pairs).T)).tolist()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert len(pairs) > 100 and sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == want
+
+
+def test_rows_that_share_a_key_across_batches():
+    key, node = np.array([1, 2, 2, 2, 3, 4, 4, 5]), np.array([1, 1, 1, 2, 9, 3, 3, 7])
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(8, np.int32)), pa.array(node)], names=["key", "n", "node"])
+    for size in (1, 2, 3, 8):
+        got = [(x["key"], x["node"]) for b in jaccard._shared(rows.slice(k, size) for k in range(0, 8, size)) for x in b.to_pylist()]
+        assert got == [(2, 1), (2, 2)]
+
+
 # ---- packing ----
 def test_packing_query(spark):
     check_pieces(packing.op3_packing(spark, SF).collect(), list(zip(*rows_from("documents")[["doc_id", "text"]].values.T.tolist())))
