@@ -88,6 +88,10 @@ RULES = (
     ("GPL-3.0-or-later", ("spdx-gpl3",)),
 )
 
+#: Sentences that real notices run together, and the rules for them, which come after those above.
+JOINED = {f"gpl{v}-free-later": f"{SENTENCES['gpl-free']} {SENTENCES[f'gpl{v}-later']}" for v in (2, 3)}
+JOINED_RULES = tuple((f"GPL-{v}.0-or-later", (f"gpl{v}-free-later", *hope)) for v in (3, 2) for hope in (("gpl-hope",), ()))
+
 #: A line feed ends a sentence, and a stop does where white space or the end follows it.
 BREAK = r"\n|[.!?;:]+(?:[ \t\r\n]|$)"
 
@@ -99,15 +103,18 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts, and texts without a known sentence, get empty lists and false. An empty table gives an empty one.
     """
     new = ("license_sentences", "licenses", "licensed")
-    ids, known = list(SENTENCES), list(SENTENCES.values())
+    table_of = {**SENTENCES, **JOINED}
+    ids, known = list(table_of), list(table_of.values())
     places = F.array(*map(F.lit, known))
     names = F.array(*map(F.lit, ids))
-    least = min(map(len, known))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    long_enough = F.filter(F.split(text, BREAK), lambda s: F.char_length(s) >= least)
-    plain = F.transform(long_enough, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.transform(F.filter(F.transform(plain, lambda s: F.array_position(places, s)), lambda k: k > 0), lambda k: F.get(names, (k - 1).cast("int")))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f";{';;'.join(run)};").alias("run")) for name, run in RULES])
+    plain = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    # "|" stands at each break: a known sentence starts and ends at one, and may be wrapped or stopped at others within.
+    marked = F.concat(F.lit("|"), F.array_join(F.filter(plain, lambda s: s != ""), "|"), F.lit("|"))
+    any_known = "(?<=\\|)(?:" + "|".join(k.replace(" ", "[ |]") for k in sorted(known, key=len, reverse=True)) + ")(?=\\|)"
+    hits = F.transform(F.regexp_extract_all(marked, F.lit(any_known), F.lit(0)), lambda s: F.translate(s, "|", " "))
+    found = F.transform(hits, lambda s: F.get(names, (F.array_position(places, s) - 1).cast("int")))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f";{';;'.join(run)};").alias("run")) for name, run in (*RULES, *JOINED_RULES)])
     # Each identifier is held as ";id;", so that neighbours share no mark and runs cannot overlap.
     held = F.concat(F.lit(";"), F.array_join(F.col("license_sentences"), ";;"), F.lit(";"))
     start = F.struct(held.alias("s"), F.array().cast("array<string>").alias("out"))

@@ -396,6 +396,30 @@ def test_license_rules(spark, awkward, empty):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("leader", ["", "# ", " * "])
+def test_license_notices_as_they_are_wrapped(spark, leader):
+    import textwrap
+
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    hope = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    use = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    source = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    binary = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    name = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    mit = [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT',
+    ]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+    cases = [(mit, "MIT"), ([isc], "ISC"), ([use, source, binary], "BSD-2-Clause"), ([use, source, binary, name], "BSD-3-Clause"), ([mpl], "MPL-2.0"), ([gpl.format(3), hope], "GPL-3.0-or-later"), ([gpl.format(2), hope], "GPL-2.0-or-later")]
+    cases += [([f"SPDX-License-Identifier: {k}"], k) for k in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0-or-later")]
+    texts = ["\n".join(leader + line for part in parts for line in [*textwrap.wrap(part, 72), ""]) for parts, _ in cases]
+    df = spark.createDataFrame([(t,) for t in [*texts, "The MIT License was\nreleased."]], "text string")
+    assert [r["licenses"] for r in licenses.scan_licenses(df).collect()] == [*([k] for _, k in cases), []]
+
+
 # ---- toxicity ----
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
