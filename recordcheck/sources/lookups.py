@@ -102,27 +102,32 @@ def rare_tokens(rows: DataFrame, id_col: str, dice: float) -> DataFrame:
     """(id, norm_title) -> (id, token): of each title its rarest tokens, enough to meet any title of that Dice similarity.
 
     Two token sets of a Jaccard similarity of at least j share one of the first n - ceil(j n) + 1 tokens of either, in any
-    common order; by rarity, the words that many titles have are seldom keys.
+    common order; by rarity, the words that many titles have are seldom keys. Repeats of a word are numbered, as Dice counts
+    them.
     """
-    tokens = rows.select(id_col, F.explode(F.array_distinct(words("norm_title"))).alias("token"))
+    listed = words("norm_title")
+    numbered = F.transform(listed, lambda w, i: F.concat_ws("\n", w, F.nullif(F.size(F.filter(F.slice(listed, F.lit(1), i), lambda x: x == w)), F.lit(0)).cast("string")))
+    tokens = rows.select(id_col, F.explode(numbered).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     jaccard = dice / (2 - dice)
     listed = tokens.join(counts, "token").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
-    keep = F.size("t") - F.ceil(F.size("t") * jaccard) + 1
+    keep = F.size("t") - F.ceil(F.size("t") * jaccard - 1e-9) + 1
     return listed.select(id_col, F.explode(F.slice("t", F.lit(1), keep.cast("int"))["token"]).alias("token"))
 
 
 def search_titles(wanted: DataFrame, works: DataFrame, limit: int, least: float = POSSIBLE) -> DataFrame:
     """(citation_id, norm_title), (work, norm_title) -> (citation_id, place, similarity, work): the `limit` most similar.
 
-    Candidates share a rare token; each distinct pair is then compared. Titles repeat: equal ones are compared once.
+    Candidates share a rare token or, as a title that begins another is forgiven the rest, the first 20 characters; each distinct pair is then compared. Titles repeat: equal ones are compared once.
     """
     dice = max(0.0, (least - 0.4) / 0.6)
     left = wanted.select("norm_title").filter("norm_title <> ''").distinct()
     right = works.select("norm_title").filter("norm_title <> ''").distinct()
     # One order of tokens for both sides.
     sides = left.select(F.lit("a").alias("side"), "norm_title").unionByName(right.select(F.lit("b").alias("side"), "norm_title"))
-    keys = rare_tokens(sides.withColumn("key", F.struct("side", "norm_title")), "key", dice)
+    sides = sides.withColumn("key", F.struct("side", "norm_title"))
+    heads = sides.filter(F.char_length("norm_title") >= 20).select("key", F.concat(F.lit("\n"), F.substring("norm_title", 1, 20)).alias("token"))
+    keys = rare_tokens(sides, "key", dice).unionByName(heads)
     a = keys.filter("key.side = 'a'").select("token", F.col("key.norm_title").alias("title_a"))
     b = keys.filter("key.side = 'b'").select("token", F.col("key.norm_title").alias("title_b"))
     pairs = a.join(b, "token").select("title_a", "title_b").distinct()
