@@ -63,30 +63,16 @@ def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_fingerprint(text: str | None, words: int, wide: int) -> list[int]:
-    """A SimHash of the distinct words, for the index, and one of 64 * wide bits over word shingles, to check links by."""
-    hashes = shingle_hashes(text, words)
-    return [majority(np.unique(shingle_hashes(text, 1))), *(majority(mixed(hashes, k + 1)) for k in range(wide))]
-
-
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), wide: int = 0) -> DataFrame:
-    """(id, *extra, fp long) for every row; null text counts as empty.
-
-    With `wide`, fp is over distinct words, and columns w0, w1, ... hold a SimHash of 64 * wide bits over shingles.
-    """
-    kept = [docs[id_col].alias("__id"), *(docs[c] for c in extra), docs[text_col].cast("string").alias("__text")]
-    rows = docs.select(*kept)
-    marks = ["fp", *(f"w{k}" for k in range(wide))]
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra) + ", ".join(f"{c} bigint" for c in marks)
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long) for every row; null text counts as empty."""
+    rows = docs.select(docs[id_col].alias("__id"), docs[text_col].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            found = [word_fingerprint(t, words, wide) if wide else [fingerprint(t, words)] for t in texts]
-            fp = np.array(found, np.uint64).reshape(-1, len(marks)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], names=[id_col, *extra, *marks])
+            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
 
 
 def bit_blocks(blocks: int, equal: int) -> list[int]:
@@ -118,11 +104,10 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return p
 
 
-def index_links(group: np.ndarray, fps: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> np.ndarray:
-    """For fingerprints of several groups: the index of the smallest member that each reaches within its group.
+def index_pairs(group: np.ndarray, fps: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For fingerprints of several groups: index pairs (a, b) of one group at `radius` or fewer differing bits, a part at a time.
 
-    `group` must be sorted. Links are pairs of one group at `radius` or fewer differing bits, whose rows of `wide`, where
-    given, also differ in `wide_radius` or fewer bits.
+    `group` must be sorted. With `wide`, rows of it must also differ in `wide_radius` or fewer bits.
     """
     n = len(fps)
     order = np.lexsort((gray_rank(fps), group))
@@ -144,24 +129,6 @@ def index_links(group: np.ndarray, fps: np.ndarray, radius: int, wide: np.ndarra
     for _, _, first, end in levels[1:]:
         lo, hi = spans[-1]
         spans.append((lo[first], hi[end - 1]))
-    parent = np.arange(n)
-    left, right = [], []
-    waiting = 0
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal parent, left, right, waiting
-        left.append(a), right.append(b)
-        waiting += len(a)
-        if waiting > 1 << 21:
-            settle()
-
-    def settle() -> None:
-        nonlocal parent, left, right, waiting
-        if waiting:
-            ids = np.arange(n)
-            parent = local_roots(n, np.concatenate([ids, *left]), np.concatenate([parent, *right]))
-            left, right, waiting = [], [], 0
-
     top = len(levels) - 1
     roots = np.arange(len(owner))
     stack = [(top, roots[k : k + FRONTIER], roots[k : k + FRONTIER], np.zeros(len(roots[k : k + FRONTIER]), np.uint64), np.zeros(len(roots[k : k + FRONTIER]), np.uint8)) for k in range(0, len(roots), FRONTIER)]
@@ -174,18 +141,18 @@ def index_links(group: np.ndarray, fps: np.ndarray, radius: int, wide: np.ndarra
         near = differing <= radius
         if level == 0:
             hit = near & (a != b)
-            a, b = a[hit], b[hit]
+            a, b = order[a[hit]], order[b[hit]]
             if wide is not None:
-                hit = np.bitwise_count(wide[order[a]] ^ wide[order[b]]).sum(1) <= wide_radius
+                hit = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= wide_radius
                 a, b = a[hit], b[hit]
-            link(a, b)
+            yield a, b
             continue
         sure = near & (wide is None) & (differing + np.bitwise_count(~both) <= radius)  # whatever the free bits are, all pairs link
         lo, hi = spans[level]
         for x, y in ((a[sure], b[sure]), (b[sure], a[sure])):
             size = hi[x] - lo[x]
             leaf = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[x], size)
-            link(leaf, np.repeat(lo[y], size))
+            yield order[leaf], order[np.repeat(lo[y], size)]  # enough to connect them
         go = near & ~sure
         a, b, seen, differing = a[go], b[go], both[go], differing[go]
         pairs = (end - first)[a] * (end - first)[b]
@@ -197,22 +164,32 @@ def index_links(group: np.ndarray, fps: np.ndarray, radius: int, wide: np.ndarra
             ca, cb = np.repeat(first[x], w) + inner // per, np.repeat(first[y], w) + inner % per
             ok = (ca <= cb) | np.repeat(x != y, w)
             stack.append((level - 1, ca[ok], cb[ok], np.repeat(seen[k : k + step], w)[ok], np.repeat(differing[k : k + step], w)[ok]))
-    settle()
-    back = np.empty(n, np.int64)
-    back[order] = order[parent]
-    return back
 
 
-def _bucket_forest(radius: int, wide_radius: int):
-    """Rows (k, bits, cell, node, fp, *wide) sorted by bucket and cell -> edges between nodes."""
+def index_links(group: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """For fingerprints of several groups: the index of the smallest member that each reaches within its group. `group` must
+    be sorted."""
+    n = len(fps)
+    ids = parent = np.arange(n)
+    left, right, waiting = [], [], 0
+    for a, b in index_pairs(group, fps, radius):
+        left.append(a), right.append(b)
+        waiting += len(a)
+        if waiting > 1 << 21:
+            parent = local_roots(n, np.concatenate([ids, *left]), np.concatenate([parent, *right]))
+            left, right, waiting = [], [], 0
+    return local_roots(n, np.concatenate([ids, *left]), np.concatenate([parent, *right]))
+
+
+def _bucket_forest(radius: int):
+    """Rows (k, bits, cell, node, fp) sorted by bucket and cell -> edges between nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def work(rows: np.ndarray) -> pa.RecordBatch:
             new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
-            bits = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
-            root = index_links(np.cumsum(new), np.ascontiguousarray(bits[:, 0]), radius, bits[:, 1:] if bits.shape[1] > 1 else None, wide_radius)
+            root = index_links(np.cumsum(new), np.ascontiguousarray(rows[:, 4]).view(np.uint64), radius)
             linked = root != np.arange(len(root))
             return pa.RecordBatch.from_arrays([pa.array(rows[linked, 3]), pa.array(rows[root[linked], 3])], names=["u", "v"])
 
@@ -231,8 +208,8 @@ def _bucket_forest(radius: int, wide_radius: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, equal: int = 1, chunk: int = CHUNK, wide_radius: int = 0) -> DataFrame:
-    """Distinct (node, fp, *wide) longs -> edges (u, v) of nodes that connect all that lie within the radius.
+def fingerprint_links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, equal: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """Distinct (node, fp) longs -> edges (u, v) of nodes that connect all that lie within the radius.
 
     Each bucket gives a forest of its links, never all pairs. `blocks - equal` must be at least the radius; more blocks held
     equal make smaller buckets and more copies. A bucket of over `chunk` members becomes chunks, and every two chunks meet
@@ -243,43 +220,40 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, blocks: int | None =
         raise ValueError("blocks - equal must reach the radius")
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bit_blocks(blocks, equal)]
     bucket = [F.struct(F.lit(k).cast("bigint").alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")) for k, m in enumerate(masks)]
-    own = distinct.columns
+    own = ["node", "fp"]
     keys = distinct.select("*", F.explode(F.array(*bucket)).alias("b")).select("b.k", "b.bits", *own)
     large = materialize(keys.groupBy("k", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > chunk), "simhash-large")
     sized = join_sized(keys, large, ["k", "bits"], "left").withColumn("c", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("bigint"))
     part = F.pmod(F.xxhash64("node"), F.col("c"))
     met = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1), lambda t: F.least(t, part) * F.col("c") + F.greatest(t, part))
     dealt = sized.select("k", "bits", F.explode(met).alias("cell"), *own)
-    return dealt.repartition("k", "bits", "cell").sortWithinPartitions("k", "bits", "cell").mapInArrow(_bucket_forest(radius, wide_radius), "u bigint, v bigint")
+    return dealt.repartition("k", "bits", "cell").sortWithinPartitions("k", "bits", "cell").mapInArrow(_bucket_forest(radius), "u bigint, v bigint")
 
 
-def near_groups(marked: DataFrame, id_col: str = "doc_id", radius: int = 4, blocks: int | None = None, equal: int = 1, wide_radius: int = 0) -> DataFrame:
-    """Rows with fp (and w0, w1, ...) -> the same rows with component_id: the smallest id whose fingerprint is reachable.
+def near_groups(marked: DataFrame, id_col: str = "doc_id", radius: int = 4, blocks: int | None = None, equal: int = 1) -> DataFrame:
+    """Rows with fp -> the same rows with component_id: the smallest id whose fingerprint is reachable.
 
     Rows without words have fingerprint 0 and link like any other. Null ids are passed over for component_id (null if a
-    component has no other); repeated rows share it. An empty table gives an empty one. `marked` should be a stored table:
-    it is read more than once.
+    component has no other); repeated rows share it; other columns are carried along. An empty table gives an empty one.
+    `marked` should be a stored table: it is read more than once.
     """
-    marks = ["fp", *sorted(c for c in marked.columns if c[0] == "w" and c[1:].isdigit())]
-    node = F.xxhash64(*marks) if len(marks) > 1 else F.col("fp")
-    firsts = marked.groupBy(*marks).agg(F.min(id_col).alias("__first")).withColumn("node", node)
-    linked = connected_components(fingerprint_links(firsts.select("node", *marks), radius, blocks, equal, CHUNK, wide_radius), "simhash-components")
-    named = firsts.select("node", "__first").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = marked.groupBy("fp").agg(F.min(id_col).alias("__first"))
+    linked = connected_components(fingerprint_links(firsts.select(F.col("fp").alias("node"), "fp"), radius, blocks, equal), "simhash-components")
+    named = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "simhash-named")
     least = materialize(named.groupBy("root").agg(F.min("__first").alias("component_id")), "simhash-least")
-    labels = materialize(named.join(least, "root").select(F.col("node").alias("__node"), "component_id"), "simhash-labels")
-    return marked.withColumn("__node", node).join(labels, "__node", "left").drop("__node", *marks[1:])
+    labels = materialize(named.join(least, "root").select(F.col("fp").alias("__node"), "component_id"), "simhash-labels")
+    return marked.withColumn("__node", F.col("fp")).join(labels, "__node", "left").drop("__node")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """documents -> the rows that stay: one of each group of near copies, that with the smallest doc_id.
 
-    Near copies have a Jaccard similarity of `similarity` or more over word shingles, and groups are what they connect. All
-    such pairs are found: no SimHash radius that the index can serve reaches them, as a passage added to a text turns some
-    ten of 64 bits at 0.8. Rows of one group that also share doc_id are ordered by a hash of the text; rows alike in both
+    Near copies have a Jaccard similarity of `similarity` or more over word shingles, and groups are what they connect. Pairs
+    are found by SimHash views in the Gray-order index and decided by their shingle sets (`nearcopies`). Rows of one group that also share doc_id are ordered by a hash of the text; rows alike in both
     are alike in all that is compared, and stay together. A row with a null doc_id goes only if its group has another.
     """
-    from recordcheck.llm.jaccard import similar_components
+    from recordcheck.llm.nearcopies import similar_components
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tied = docs.withColumn("__tie", F.xxhash64(text))
@@ -287,17 +261,17 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     rows = tied.select("doc_id", "__tie")
     firsts = rows.groupBy("__tie").agg(F.min("doc_id").alias("__first"))
     named = firsts.join(roots.withColumnRenamed("node", "__tie"), "__tie", "left").withColumn("root", F.coalesce("root", "__tie"))
-    named = materialize(named, "jaccard-named")
-    least = materialize(named.groupBy("root").agg(F.min("__first").alias("component_id")), "jaccard-least")
-    labels = materialize(named.join(least, "root").select("__tie", "component_id"), "jaccard-labels")
-    grouped = materialize(rows.join(labels, "__tie"), "jaccard-groups")
+    named = materialize(named, "near-named")
+    least = materialize(named.groupBy("root").agg(F.min("__first").alias("component_id")), "near-least")
+    labels = materialize(named.join(least, "root").select("__tie", "component_id"), "near-labels")
+    grouped = materialize(rows.join(labels, "__tie"), "near-groups")
     first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     heads = grouped.filter(first)  # one row for most components: only these need to be told apart
     least = heads.groupBy("component_id").agg(F.min("__tie").alias("__least"))
     tied_heads = heads.join(least, "component_id").filter(F.col("__tie") != F.col("__least")).drop("__least")
     gone = grouped.filter(~first & F.col("component_id").isNotNull()).unionByName(tied_heads)
     gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), "__tie").distinct()
-    gone = materialize(gone, "simhash-gone")
+    gone = materialize(gone, "near-gone")
     keyed = tied.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__none", F.col("doc_id").isNull())
     return join_sized(keyed, gone, ["__id", "__none", "__tie"], "left_anti").select(*docs.columns)
 

@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import SF, same_rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from recordcheck.llm import exact, html, jaccard, licenses, minhash, ngrams, packing, pieces, simhash, toxicity, warc  # noqa: E402
+from recordcheck.llm import exact, html, licenses, minhash, nearcopies, ngrams, packing, pieces, simhash, toxicity, warc  # noqa: E402
 from recordcheck.llm.common import fresh_path, materialize, table  # noqa: E402
 from recordcheck.llm.components import connected_components  # noqa: E402
 from recordcheck.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
@@ -137,17 +137,32 @@ def test_near_copies_are_those_of_the_jaccard_similarity(spark):
     r.shuffle(texts)
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = np.unique(simhash.local_roots(len(texts), *np.array(pairs).T)).tolist()
+    kept = np.unique(simhash.local_roots(len(texts), *np.array(pairs).T)).tolist()
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
-    assert len(pairs) > 100 and sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == want
+    got = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    gone, want = set(range(len(texts))) - got, set(range(len(texts))) - set(kept)
+    assert len(pairs) > 100 and gone <= want and len(gone) >= 0.9 * len(want)  # the index is measured, links are exact
 
 
-def test_rows_that_share_a_key_across_batches():
-    key, node = np.array([1, 2, 2, 2, 3, 4, 4, 5]), np.array([1, 1, 1, 2, 9, 3, 3, 7])
-    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(8, np.int32)), pa.array(node)], names=["key", "n", "node"])
-    for size in (1, 2, 3, 8):
-        got = [(x["key"], x["node"]) for b in jaccard._shared(rows.slice(k, size) for k in range(0, 8, size)) for x in b.to_pylist()]
-        assert got == [(2, 1), (2, 2)]
+def test_large_groups_of_near_copies(spark):
+    """Copies of one text that are mostly unlike each other, next to unlike texts with one beginning, in chunks of 16."""
+    r = random.Random(3)
+    fresh = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    base, head = fresh(150), fresh(80)
+    texts = [base, *(base.copy() for _ in range(120)), *(head + fresh(100) for _ in range(80))]
+    for t in texts[1:121]:
+        for _ in range(r.randrange(1, 5)):
+            t[r.randrange(150)] = f"x{r.randrange(3000)}"
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = simhash.local_roots(len(texts), *np.array(pairs).T)
+    rows = materialize(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), "test-near")
+    for chunk in (16, 1024):
+        got = np.arange(len(texts))
+        for node, root in nearcopies.similar_components(rows, chunk=chunk).collect():
+            got[node] = root
+        assert (got == want).mean() >= 0.97 and (want[got] == want).all()
 
 
 # ---- packing ----
@@ -454,9 +469,9 @@ def test_pipeline(spark):
     scored = {r["doc_id"] for r in toxicity.score_toxicity(docs, table(spark, SF, "labels")).filter("predicted = 0").collect()}
     plain = rows_from("documents").query("doc_id in @scored")
     last = plain.sort_values("doc_id").drop_duplicates("text", keep="last")
-    bits = np.array([[*simhash.word_fingerprint(t, 5, 4)] for t in last.text], np.uint64)
-    near = (np.bitwise_count(bits[:, None, 0] ^ bits[None, :, 0]) <= 6) & (np.bitwise_count(bits[:, None, 1:] ^ bits[None, :, 1:]).sum(2) <= 44)
-    root = simhash.local_roots(len(last), *np.nonzero(np.triu(near, 1)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in last.text]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = simhash.local_roots(len(last), *np.array(pairs, int).reshape(-1, 2).T)
     want = sorted(last.doc_id.to_numpy()[np.unique(root)].tolist())
     assert sorted(r["doc_id"] for r in left.collect()) == want
     assert sorted({r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}) == want
