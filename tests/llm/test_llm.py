@@ -318,18 +318,34 @@ def test_scan_equals_whole(spark):
     for _ in range(150):
         text = "".join(r.choice(["ab", "c ", "  ", "the", "tion", " x", "é", "漢", "q" * 3]) for _ in range(r.randint(1, 60)))
         normal, size = p.normalize(text), r.choice([16, 17, 20, 33])
-        cuts = [(normal[k : k + size + p.longest - 1], min(size, len(normal) - k)) for k in range(0, len(normal), size)]
+        cuts = list(p.chunks(normal, size))
         matrices = [p.transfer(*c) for c in cuts]
         whole = matrices[0]
         for m in matrices[1:]:
             whole = pieces.product(whole, m)
         states = pieces.best_states(matrices, 0, 0)
-        got = [p.between(*c, states[k], states[k + 1]) for k, c in enumerate(cuts)]
-        assert sum(g[1] for g in got) == pytest.approx(p.encode(normal)[1]) == pytest.approx(whole[0, 0])
-        assert p.decode(b"".join(g[0] for g in got)) == text
+        got = [p.between(*c[:2], states[k], states[k + 1], c[2]) for k, c in enumerate(cuts)]
+        best, _, begin = p.paths(normal)
+        assert sum(g[1] for g in got) == p.encode(normal)[1] == whole[0, 0, 0] == best[-1]
+        assert b"".join(g[0] for g in got) == p.encode(normal)[0] == p.trace(normal, begin, len(normal)) and p.decode(p.encode(normal)[0]) == text
     docs = table(spark, SF, "documents").select("doc_id", "text")
-    one, many = (pieces.encode(docs, chunk=c).toPandas().set_index("doc_id").sort_index() for c in (1 << 16, 300))
-    assert np.allclose(one.score, many.score)
+    one, *more = (pieces.encode(docs, chunk=c).toPandas().set_index("doc_id").sort_index() for c in (1 << 16, 300, 64))
+    for many in more:
+        assert (one.score == many.score).all() and (one.ids == many.ids).all()
+
+
+def test_pieces_query(spark):
+    """The query's columns, by a plain search along each whole text."""
+    p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in pieces.op6_pieces(spark, SF).collect()}
+    docs = rows_from("documents")
+    assert len(got) == len(docs)
+    for i, text in zip(docs.doc_id, docs.text):
+        ids, score = b"", 0.0
+        for s in p.segments.findall(p.normalize(text)):
+            best, _, begin = p.paths(s)
+            ids, score = ids + p.trace(s, begin, len(s)), score + best[-1]
+        assert (got[i]["n_ids"], got[i]["ids_crc32"], got[i]["score"], got[i]["round_trip"]) == (len(ids) // 4, zlib.crc32(ids), round(score, 3), "▁" not in (text or ""))
 
 
 def test_pieces_awkward(spark, awkward, empty):
