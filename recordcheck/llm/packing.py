@@ -8,7 +8,9 @@ a fixed length; a document that crosses a window's end gives a boundary record o
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,30 +20,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordcheck.llm.common import materialize, table
+from recordcheck.llm.common import join_sized, materialize, table
 
 #: Tokens of a sequence, and the id that ends a document.
 SEQUENCE, END = 2048, 1
 
 
 def encoder(path: str):
-    """Texts -> lists of ids of a byte-level BPE vocabulary, special tokens' strings taken as ordinary text.
+    """Texts -> lists of ids of a byte-level BPE vocabulary, as `tokenizers` gives them with add_special_tokens=False.
 
-    A rank file of the same name, where there is one, gives the same ids several times faster than the vocabulary's JSON.
+    A rank file of the same name, where there is one, gives the same ids several times faster than the vocabulary's JSON. It
+    knows nothing of added tokens (`<|endoftext|>`), so texts that hold one go through the JSON.
     """
-    ranked = path.removesuffix(".json") + ".tiktoken"
-    if path.endswith(".json") and os.path.exists(ranked):
-        import tiktoken
-
-        with open(ranked, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [coder.encode_ordinary(t) for t in texts]
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(path)
-    full.encode_special_tokens = True
-    return lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
+    ranked = path.removesuffix(".json") + ".tiktoken"
+    if not (path.endswith(".json") and os.path.exists(ranked)):
+        full = Tokenizer.from_file(path)
+        return lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
+    import tiktoken
+
+    with open(ranked, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        added = [re.escape(t["content"]) for t in json.load(f).get("added_tokens", ())]
+    holds = re.compile("|".join(added) or r"(?!)").search
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    full = None
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        nonlocal full
+        found = [None if holds(t) else coder.encode_ordinary(t) for t in texts]
+        if None in found:
+            full = full or Tokenizer.from_file(path)
+            found = [full.encode(t, add_special_tokens=False).ids if f is None else f for t, f in zip(texts, found)]
+        return found
+
+    return encode
 
 
 def _tokenize(path: str, end: int):
@@ -103,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = SEQUENCE,
     totals = tokens.groupBy("part").agg(F.sum("size").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(F.broadcast(offsets), "part")  # as many rows as the input had partitions
+    placed = join_sized(tokens, materialize(offsets, "packing-offsets"), ["part"])  # as many rows as the input had partitions
     kind = docs.schema[id_col].dataType.simpleString()
     rows = placed.select("id", (F.col("base") + F.col("start")).alias("at"), "size", "ids")
     schema = f"id {kind}, " + ", ".join(f"`{c}` bigint" for c in NAMES)

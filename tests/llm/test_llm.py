@@ -174,7 +174,6 @@ def check_pieces(got, docs, window=2048):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
     want = sorted((i or 0, tuple([*full.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in docs)
     total = sum(len(t) for _, t in want)
     spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
@@ -208,7 +207,9 @@ def test_encoders_agree():
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path)
-    full.encode_special_tokens = True
+    r = random.Random(8)
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", " " * 5000 + "x", "\n\n\t  \r\n", "1234567890" * 300, "😀👩‍👩‍👧 café Ⅷ ½ ²", "it's we'LL I'M", "\u200b\ufeff\x00\x85\u3000x"]
+    texts += ["".join(r.choice("abcdefghij") for _ in range(1 << 20)), "".join(chr(r.choice((r.randrange(32, 127), r.randrange(160, 0x3000), r.randrange(0x1F300, 0x1F700)))) for _ in range(20_000))]
     assert packing.encoder(path)(texts) == [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -237,6 +238,28 @@ def test_html_layouts():
     assert html.main_text(page, tree) == "Head&line\nFirst <b> bold text here with a link in it.\nTwo.\nThree é."
 
 
+def test_html_keeps_what_belongs_to_the_article():
+    tree = html.train_tree()
+    say = "Plain words of the article that go on for a while, with a stop at the end."
+    page = f"<nav><a href=x>Home</a></nav><article><header><h1>Its title</h1></header><p>{say}</p><figure><img src=a><figcaption>What the picture shows.</figcaption></figure><p>So <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> is known. {say}</p><p>Press <button>Go<p>{say}</article><footer>&copy; 2024 Some Company</footer>"
+    assert html.main_text(page, tree) == f"Its title\n{say}\nWhat the picture shows.\nSo a+b is known. {say}\nPress"
+    page = f"<article><p>{say}</p><div>Press <button>Go</div><p>{say}</p></article><footer>&copy; 2024 Some Company</footer>"
+    assert html.main_text(page, tree) == f"{say}\nPress\n{say}"
+
+
+def test_html_deep_and_long_pages():
+    """Open elements are shared by the blocks within, so memory follows the page's length."""
+    import tracemalloc
+
+    peaks = []
+    for n in (4_000, 16_000):
+        tracemalloc.start()
+        assert len(html.blocks("<div>word" * n + "</div>" * n)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0]
+
+
 def test_html_pages(spark):
     got = {r["page_id"]: r for r in html.op5_html(spark, SF).collect()}
     for page_id, url, source in rows_from("pages").values.tolist():
@@ -462,6 +485,26 @@ def test_toxicity_held_out(spark):
     assert auc > 0.97 and m.predicted[~toxic].mean() < 0.01
 
 
+def test_toxicity_near_words_and_calibration():
+    """Nearness by a plain scan, trees by hand-made rows, isotonic scores by the definition of pooled means."""
+    r = random.Random(4)
+    lexicon = toxicity.Lexicon({"vile": 2.0})
+    at = toxicity.FEATURES.index("second_near")
+    for _ in range(50):
+        words = [r.choice(["vile", "you", "plain", "other"]) for _ in range(r.randint(1, 40))]
+        hits, you = ([k for k, w in enumerate(words) if w == x] for x in ("vile", "you"))
+        want = sum(any(abs(h - y) <= toxicity.NEAR for y in you) for h in hits) / max(1, len(hits))
+        assert toxicity.features(" ".join(words), lexicon)[at] == want
+    x = np.array([[a, b] for a in range(20) for b in range(20)], float)
+    y = ((x[:, 0] > 9) & (x[:, 1] > 4)).astype(float)
+    model = toxicity.Boosted().fit(x, y)
+    model.calibrate(x, y)
+    scores = model.score(x)
+    assert ((scores >= 0.5) == (y == 1)).all() and scores.min() >= 0 and scores.max() <= 1
+    order = np.argsort(scores, kind="stable")
+    assert (np.diff(scores[order]) >= 0).all()
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(3, 0), (3, 1), (8, 1), (None, 1), (7, None), (5, 0)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(awkward, labels)
