@@ -10,7 +10,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +21,21 @@ from pyspark.sql import functions as F
 
 from recordcheck.llm.common import table
 
-#: Comments, declarations, elements whose content is never text to read, and tags. An element that isn't closed ends with the page.
+#: Comments, declarations, elements whose content is no markup and never text to read (one that isn't closed ends with the
+#: page), and tags.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is left out where it stands, up to their end or that of an element around them.
+SKIPPED = frozenset("button select datalist svg canvas video audio object template annotation annotation-xml".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded mspace mtable mtr mtd semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-REST_TAGS = frozenset("nav header footer aside form fieldset menu dialog figcaption".split())
+REST_TAGS = frozenset("nav header footer aside form fieldset menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
 REST_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs crumbs "
@@ -57,12 +62,29 @@ def marks(tag: str, attributes: str) -> int:
     return -1 if rest and tag not in MAIN_TAGS else int(main)
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, list[str], list[int]]]:
-    """(text, words, linked words, open block elements, their marks) of each flat block with text, in page order."""
+class Around(NamedTuple):
+    """What the open block elements around a block say together; one object for each open element, shared by its blocks."""
+
+    tag: str = ""
+    inner: int = 0  # the mark of the innermost element that has one
+    rest: bool = False
+    main: bool = False
+    item: bool = False
+    skipped: bool = False
+
+    def inside(self, tag: str, mark: int) -> Around:
+        return Around(tag, mark or self.inner, self.rest or mark < 0, self.main or mark > 0, self.item or tag == "li", self.skipped or tag in SKIPPED)
+
+
+def blocks(page: str | None) -> list[tuple[str, int, int, Around]]:
+    """(text, words, linked words, what stands around it) of each flat block with text, in page order.
+
+    An end tag closes its element and those within that are still open; one without an open element is passed over.
+    """
     page = page or ""
-    out: list[tuple[str, int, int, list[str], list[int]]] = []
-    tags: list[str] = []
-    held: list[int] = []
+    out: list[tuple[str, int, int, Around]] = []
+    stack: list[Around] = [Around()]
+    open_: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     linked, at = False, 0
 
@@ -72,60 +94,70 @@ def blocks(page: str | None) -> list[tuple[str, int, int, list[str], list[int]]]
             if text:
                 inside = sum(len(html.unescape(p).split()) for p, link in pieces if link)
                 words = text.count(" ") + 1
-                out.append((text, words, min(inside, words), tags.copy(), held.copy()))
+                out.append((text, words, min(inside, words), stack[-1]))
             pieces.clear()
 
+    def close(tag: str) -> None:
+        while open_[tag] and len(stack) > 1:
+            last = stack.pop().tag
+            open_[last] -= 1
+            if last == tag:
+                break
+
     for m in TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].skipped:
             pieces.append((page[at : m.start()], linked))
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "a":
+        if m[2] and tag in SKIPPED:
+            close(tag)
+        elif tag in SKIPPED:
+            if not m[4].endswith("/"):
+                stack.append(stack[-1].inside(tag, 0))
+                open_[tag] += 1
+        elif tag == "a":
             linked = not m[2]
         elif tag == "br":
             pieces.append((" ", linked))
         elif tag in VOID:
             if tag == "hr":
                 flush()
-        elif tag not in INLINE or (not m[2] and marks(tag, m[4]) < 0):
-            flush()
-            if m[2]:
-                if tag in tags:
-                    k = len(tags) - 1 - tags[::-1].index(tag)
-                    del tags[k:], held[k:]
-                continue
-            while tags and tags[-1] in CLOSES.get(tag, {"p"}):
-                tags.pop(), held.pop()
-            linked = False
-            if not m[4].endswith("/"):
-                tags.append(tag)
-                held.append(marks(tag, m[4]))
-        elif m[2] and tag in tags:  # an inline element that was marked, and so stands as a block
-            flush()
-            k = len(tags) - 1 - tags[::-1].index(tag)
-            del tags[k:], held[k:]
-    if at < len(page):
+        elif m[2]:
+            if tag not in INLINE or open_[tag]:  # an inline element that was marked stands as a block
+                flush()
+                close(tag)
+        else:
+            mark = marks(tag, m[4])
+            if tag == "header" and stack[-1].main and mark < 0:
+                mark = 0  # of the article, not of the page
+            if tag not in INLINE or mark < 0:
+                flush()
+                while stack[-1].tag and stack[-1].tag in CLOSES.get(tag, {"p"}):
+                    close(stack[-1].tag)
+                linked = False
+                if not m[4].endswith("/"):
+                    stack.append(stack[-1].inside(tag, mark))
+                    open_[tag] += 1
+    if at < len(page) and not stack[-1].skipped:
         pieces.append((page[at:], linked))
     flush()
     return out
 
 
-def block_features(found: list[tuple[str, int, int, list[str], list[int]]]) -> np.ndarray:
+def block_features(found: list[tuple[str, int, int, Around]]) -> np.ndarray:
     """A row of FEATURES for each block of a page."""
     words = np.array([b[1] for b in found], float)
     links = np.array([b[2] for b in found], float) / np.maximum(words, 1)
     shift = lambda v, k: np.r_[np.zeros(1), v[:-1]] if k < 0 else np.r_[v[1:], np.zeros(1)]
-    rest = np.array([-1 in b[4] for b in found], float)
-    main = np.array([1 in b[4] for b in found], float)
-    own = [[next((x for x in reversed(b[4]) if x), 0), *(b[3][-1:] or [""])] for b in found]
-    tag = [o[1] for o in own]
+    around = [b[3] for b in found]
+    main = np.array([a.main for a in around], float)
     columns = [
-        words, shift(words, -1), shift(words, 1), links, shift(links, -1), shift(links, 1), np.array([o[0] for o in own], float), rest, main,
-        np.full(len(found), float(main.any())), np.array([t in HEADINGS for t in tag], float), np.array([t in ("p", "blockquote", "pre") for t in tag], float),
-        np.array(["li" in b[3] for b in found], float), np.array([b[0][-1] in ".!?:\"'»”)" for b in found], float),
+        words, shift(words, -1), shift(words, 1), links, shift(links, -1), shift(links, 1), np.array([a.inner for a in around], float), np.array([a.rest for a in around], float), main,
+        np.full(len(found), float(main.any())), np.array([a.tag in HEADINGS for a in around], float), np.array([a.tag in ("p", "blockquote", "pre") for a in around], float),
+        np.array([a.item for a in around], float), np.array([b[0][-1] in ".!?:\"'»”)" for b in found], float),
         np.array([b[0][0] in "©®" or "copyright" in b[0][:40].lower() or "all rights reserved" in b[0].lower() for b in found], float), np.array([b[0][:1].isupper() for b in found], float),
     ]
     return np.stack(columns, axis=1)
