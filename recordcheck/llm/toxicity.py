@@ -87,9 +87,9 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     for m in OBFUSCATED.findall(text.lower()):
         tokens += 1
         hidden += lexicon.weight("".join(WORD.findall(m.rstrip(".,;:!?|+*-_").translate(LEET)))) > 0
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    at = np.array(you)
-    near = sum(bool(len(at)) and int(np.abs(at - i).min()) <= NEAR for i in where)
+    you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON], np.int64)
+    hits = np.array(where, np.int64)
+    near = int((np.searchsorted(you, hits + NEAR, "right") > np.searchsorted(you, hits - NEAR, "left")).sum())
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     size = len(raw)
     caps, punct, excl, digits, beyond = np.bincount(raw, minlength=256) @ CLASSES / size
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.xxhash64("text")), F.lit(5)).cast("int")  # copies fall into one fold
     sample = texts.join(F.broadcast(drawn), "doc_id").select("text", "label", F.coalesce(fold, F.lit(0)).alias("fold"))
     sample = materialize(sample, "toxicity-sample")
-    lexicon = Lexicon(learn_lexicon(sample))
+    lexicon = Lexicon(learn_lexicon(sample.filter("fold <> 0")))  # its densities must be as new to the calibration rows as to others
     got = sample.mapInArrow(_feature_rows(lexicon), "x array<double>, label int, fold int").toPandas()
     if got["label"].nunique() < 2:
         return lexicon, float(got["label"].mean()) if len(got) else 0.0
