@@ -158,9 +158,11 @@ def write_archives(pages: DataFrame, base: str, least: int = REVISIT_BYTES, file
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """(path) -> a row for each record, payloads checked against their digests; revisits have no payload yet."""
+    """Stored (path) -> a row for each record, payloads checked against their digests; revisits have no payload yet.
+
+    Each file is read by a task of its own; an empty list gives no rows."""
     schema = "record_type string, record_id string, refers_to_id string, page_id bigint, url string, payload_digest string, payload_bytes bigint, payload binary"
-    return files.select("path").repartition("path").mapInArrow(_read, schema)
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(_read, schema)  # a given number isn't coalesced
 
 
 def resolve_revisits(read: DataFrame) -> DataFrame:
