@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from recordcheck.llm.common import join_sized, materialize
 from recordcheck.llm.components import connected_components
-from recordcheck.llm.simhash import CHUNK, GATHER, bit_blocks, index_pairs, majority, mixed, shingle_hashes
+from recordcheck.llm.simhash import CHUNK, GATHER, bit_blocks, block_choice, index_pairs, majority, mixed, shingle_hashes
 
-#: Anchors of a text, differing bits at which views meet, blocks of bits of which one is held equal.
-ANCHORS, RADIUS, BLOCKS = 4, 3, 4
+#: Anchors of a text, and differing bits at which views meet.
+ANCHORS, RADIUS = 4, 3
 #: Words of the wide SimHash and its radius: at a similarity of 0.8 38.8 of 256 bits differ, with a deviation of 5.7.
 WIDE, WIDE_RADIUS = 4, 50
 #: The nearest partners that a member of a bucket is compared with first, and members of a large bucket that meet all others.
@@ -219,7 +219,7 @@ def similar_components(rows: DataFrame, similarity: float = 0.8, words: int = 5,
     """
     schema = "node bigint, n bigint, kinds array<bigint>, fps array<bigint>, " + ", ".join(f"{w} bigint" for w in WIDES)
     marked = materialize(rows.mapInArrow(_marks(words), schema).dropDuplicates(["node"]), "near-marks")
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bit_blocks(BLOCKS, BLOCKS - RADIUS)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in bit_blocks(*block_choice(marked.count(), RADIUS))]
     view = marked.select("*", F.explode(F.arrays_zip("kinds", "fps")).alias("view")).select("node", "n", *WIDES, F.col("view.kinds").alias("kind"), F.col("view.fps").alias("fp"))
     cells = F.array(*[F.struct((F.col("kind") * len(masks) + k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")) for k, m in enumerate(masks)])
     keys = view.select(*MEMBER, F.explode(cells).alias("b")).select("b.k", "b.bits", *MEMBER)

@@ -82,6 +82,15 @@ def bit_blocks(blocks: int, equal: int) -> list[int]:
     return [sum(c) for c in combinations(runs, equal)]
 
 
+def block_choice(count: int, radius: int) -> tuple[int, int]:
+    """(blocks, equal) for so many fingerprints: the fewest blocks held equal that leave about a chunk to a bucket. All choices
+    find the same links."""
+    equal = 1
+    while count > CHUNK << (64 * equal // (radius + equal)) and equal < 4:
+        equal += 1
+    return radius + equal, equal
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each word in the reflected Gray sequence."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -235,9 +244,10 @@ def near_groups(marked: DataFrame, id_col: str = "doc_id", radius: int = 4, bloc
 
     Rows without words have fingerprint 0 and link like any other. Null ids are passed over for component_id (null if a
     component has no other); repeated rows share it; other columns are carried along. An empty table gives an empty one.
-    `marked` should be a stored table: it is read more than once.
+    `marked` should be a stored table: it is read more than once. Without `blocks`, the number of fingerprints decides.
     """
-    firsts = marked.groupBy("fp").agg(F.min(id_col).alias("__first"))
+    firsts = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("__first")), "simhash-firsts")
+    blocks, equal = (blocks, equal) if blocks else block_choice(firsts.count(), radius)
     linked = connected_components(fingerprint_links(firsts.select(F.col("fp").alias("node"), "fp"), radius, blocks, equal), "simhash-components")
     named = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "simhash-named")
