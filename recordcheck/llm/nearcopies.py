@@ -28,6 +28,9 @@ WIDE, WIDE_RADIUS = 4, 50
 NEAREST, PIVOTS = 3, 64
 #: Texts whose shingles a task holds at once.
 SLICE = 512
+#: Bits a shingle of the bitmaps that bound a similarity, their most bytes (longer texts fill them and are bounded less), and
+#: rows and bytes of bitmaps that a task gathers before it works on them.
+SPREAD, MOST_BYTES, ROWS, BYTES = 8, 1 << 13, 1 << 16, 1 << 26
 
 
 def views(words: np.ndarray, shingles: np.ndarray, anchors: int = ANCHORS) -> dict[int, set[int]]:
@@ -79,20 +82,64 @@ WIDES = [f"w{k}" for k in range(WIDE)]
 MEMBER = ["node", "n", "fp", *WIDES]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    """Calls work on the rows of whole buckets (rows sorted by their first three columns), many at once."""
+def _buckets(batches: Iterator[pa.RecordBatch], work, most: int = GATHER) -> Iterator[pa.RecordBatch]:
+    """Calls work on the rows of whole buckets (rows sorted by their first three columns), many at once. A last column that
+    isn't of numbers goes along as a list."""
     held: list[np.ndarray] = []
+    aside: list[bytes] = []
     for b in batches:
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
-        if sum(map(len, held)) >= GATHER:
+        numbers = [c for c in b.columns if pa.types.is_integer(c.type)]
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in numbers], axis=1))
+        if len(numbers) < b.num_columns:
+            aside += b.columns[-1].to_pylist()
+        if sum(map(len, held)) >= most or sum(map(len, aside)) >= BYTES:
             rows = np.concatenate(held)
             tail = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
             cut = tail[-1] + 1 if len(tail) else 0
-            held = [rows[cut:]]
             if cut:
-                yield from work(rows[:cut])
+                yield from work(rows[:cut], aside[:cut])
+            held, aside = [rows[cut:]], aside[cut:]
     if held and sum(map(len, held)):
-        yield from work(np.concatenate(held))
+        yield from work(np.concatenate(held), aside)
+
+
+def _bitmaps(words: int):
+    """Rows (node, text) -> (node, bitmap): a bit for each distinct shingle, in a power of two of some SPREAD bits a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part, found = batch.slice(k, SLICE), []
+                for text in part.column(1).to_pylist():
+                    hashes = np.unique(shingle_hashes(text, words))
+                    width = min(8 * MOST_BYTES, 64 << max(0, (SPREAD * len(hashes)).bit_length() - 6))
+                    flags = np.zeros(width, bool)
+                    flags[hashes & np.uint64(width - 1)] = True
+                    found.append(np.packbits(flags, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "bitmap"])
+
+    return run
+
+
+def bounded(n: np.ndarray, bitmaps: list[bytes], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (a, b) of sets with n members and these bitmaps may have the similarity.
+
+    A bit that only one set has is a member that only it has, so a pair that is ruled out cannot have it. Of two bitmaps the
+    wider is folded to the other's width.
+    """
+    widths = np.array([len(x) for x in bitmaps])
+    width = np.minimum(widths[a], widths[b])
+    ok = np.zeros(len(a), bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        used = np.unique(np.r_[a[at], b[at]])
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(bitmaps[k], np.uint64).reshape(-1, w // 8), axis=0) for k in used.tolist()])
+        for k in range(0, len(at), step := max(1, (1 << 22) // w)):
+            i, j = a[at[k : k + step]], b[at[k : k + step]]
+            x, y = bits[np.searchsorted(used, i)], bits[np.searchsorted(used, j)]
+            both = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1), n[j] - np.bitwise_count(y & ~x).sum(1))
+            ok[at[k : k + step]] = both >= similarity * (n[i] + n[j] - both) - 1e-9
+    return ok
 
 
 def _possible(rows: np.ndarray, similarity: float) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -122,7 +169,7 @@ def _nearest(similarity: float):
         kept = np.arange(len(a)) - start < NEAREST
         return a[kept], b[kept], d[kept], a[~kept]
 
-    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(rows: np.ndarray, _: list[bytes]) -> Iterator[pa.RecordBatch]:
         group, pairs = _possible(rows, similarity)
         best = tuple(np.empty(0, np.int64) for _ in range(3))
         waiting, size, more = [], 0, np.zeros(len(rows), bool)
@@ -152,18 +199,21 @@ def _nearest(similarity: float):
 
 
 def _between_roots(similarity: float):
-    """Bucket rows (..., root, side) -> (u, v) of all pairs with different roots, those between two members of side 1 aside."""
+    """Bucket rows (..., root, side, bitmap) -> (u, v) of all pairs with different roots that may be similar by their bitmaps,
+    those between two members of side 1 aside."""
 
-    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(rows: np.ndarray, bitmaps: list[bytes]) -> Iterator[pa.RecordBatch]:
         _, pairs = _possible(rows, similarity)
         root, side = rows[:, -2], rows[:, -1]
         for a, b, _ in pairs:
             ok = (root[a] != root[b]) & ((side[a] == 0) | (side[a] != side[b]))
+            a, b = a[ok], b[ok]
+            ok = bounded(rows[:, 4], bitmaps, a, b, similarity)
             x, y = rows[a[ok], 3], rows[b[ok], 3]
             ends = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0) if ok.any() else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["u", "v"])
 
-    return lambda batches: _buckets(batches, work)
+    return lambda batches: _buckets(batches, work, ROWS)
 
 
 def _sets(words: int):
@@ -214,7 +264,7 @@ def similar_components(rows: DataFrame, similarity: float = 0.8, words: int = 5,
 
     First every member of a bucket is compared with its nearest partners. A bucket of over `chunk` members is dealt into
     chunks, which a few pivots join. Buckets with further pairs come again: all their pairs of still different components
-    are compared. Members of the component that is the commonest in a large bucket do not meet each other there, so that
+    are compared that their bitmaps leave open. Members of the component that is the commonest in a large bucket do not meet each other there, so that
     one large group of near copies is dealt once; members of other components meet all, in cells of a chunk by a chunk.
     """
     schema = "node bigint, n bigint, kinds array<bigint>, fps array<bigint>, " + ", ".join(f"{w} bigint" for w in WIDES)
@@ -242,7 +292,10 @@ def similar_components(rows: DataFrame, similarity: float = 0.8, words: int = 5,
     rooted = materialize(rooted, "near-rooted")
     sizes = rooted.groupBy("k", "bits", "root").agg(F.count("*").alias("m")).groupBy("k", "bits").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("most"))
     mixed_ = materialize(sizes.filter(F.col("all") > F.col("most.m")).select("k", "bits", "all", F.col("most.m").alias("most"), F.col("most.root").alias("main")), "near-mixed")
-    met = join_sized(rooted, mixed_, ["k", "bits"])
+    met = materialize(join_sized(rooted, mixed_, ["k", "bits"]), "near-met")
+    wanted = materialize(met.select("node").distinct(), "near-nodes")
+    texts = join_sized(rows, wanted, ["node"], "left_semi").select("node", "text")
+    bitmaps = materialize(texts.mapInArrow(_bitmaps(words), "node bigint, bitmap binary").dropDuplicates(["node"]), "near-bitmaps")
     whole = F.col("all") <= chunk
     parts = lambda size: F.ceil(size / chunk).cast("bigint")
     met = met.withColumns({"odd": F.col("root") != F.col("main"), "i": parts(F.col("all") - F.col("most")), "j": parts(F.col("most"))}).withColumn("p", F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("i")).otherwise(F.col("j"))))
@@ -253,6 +306,7 @@ def similar_components(rows: DataFrame, similarity: float = 0.8, words: int = 5,
     main = F.transform(F.sequence(zero, i - 1), lambda t: place(i * i + t * j + p, 2))
     places = F.when(whole, F.array(place(F.lit(0), 0))).when(F.col("odd"), F.concat(among, across)).otherwise(main)
     dealt = met.select("k", "bits", F.explode(places).alias("at"), *MEMBER, "root").select("k", "bits", "at.cell", *MEMBER, "root", "at.side")
+    dealt = dealt.join(bitmaps, "node").select("k", "bits", "cell", *MEMBER, "root", "side", "bitmap")
     again = dealt.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(_between_roots(similarity), "u bigint, v bigint").distinct()
     rest = materialize(again.join(pairs, ["u", "v"], "left_anti"), "near-rest")
     return connected_components(links.unionByName(_verified(rest, rows, similarity, words)), "near-components")

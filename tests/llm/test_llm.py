@@ -165,6 +165,22 @@ def test_large_groups_of_near_copies(spark):
         assert (got == want).mean() >= 0.97 and (want[got] == want).all()
 
 
+def test_bitmaps_rule_out_no_similar_pair():
+    r = random.Random(9)
+    texts = []
+    for n in (1, 6, 30, 200, 3000):
+        base = [f"w{r.randrange(500)}" for _ in range(n)]
+        texts += [base, *([f"x{k}" if r.random() < share else w for k, w in enumerate(base)] for share in (0.01, 0.02, 0.04, 0.1) for _ in range(4)), base + base[: n // 6]]
+    texts = ["", " ", *(" ".join(t) for t in texts)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "text"])
+    bitmaps = [x for b in nearcopies._bitmaps(5)([batch]) for x in b.column(1).to_pylist()]
+    a, b = np.triu_indices(len(texts), 1)
+    may = nearcopies.bounded(np.array([len(s) for s in sets]), bitmaps, a, b, 0.8)
+    similar = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(a, b)])
+    assert not (similar & ~may).any() and similar.sum() > 20 and may.sum() < 2 * similar.sum()
+
+
 # ---- packing ----
 def test_packing_query(spark):
     check_pieces(packing.op3_packing(spark, SF).collect(), list(zip(*rows_from("documents")[["doc_id", "text"]].values.T.tolist())))
