@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordcheck.functions.arrow import arrow_function
@@ -98,6 +99,12 @@ def split_display_name(name: str | None) -> Author:
     return Author(" ".join(words[last:]), " ".join(words[:last]))
 
 
+def first_family(authors: Column) -> Column:
+    """The first author's family or literal name without braces and accent marks, as it goes into a search; empty for none."""
+    lead = F.get(authors, F.lit(0))
+    return F.regexp_replace(F.coalesce(lead["literal"], lead["family"], F.lit("")), r"""[{}\\'"`^~]""", "")
+
+
 @remembered
 def name_key(text: str) -> str:
     return re.sub("[^a-z]", "", fold_diacritics(latex_to_unicode(text)).lower())

@@ -80,13 +80,13 @@ class _Plan:
         elif kind == "rename":
             target = self.changes.get(s["to"].lower())
             if name not in self.fields:
-                return f"Field {s['field']} is not present"
+                return f"There is no field {s['field']}"
             if s["to"].lower() in self.fields or (target and target.raw):
                 return f"A {s['to']} field already exists"
             self.of(s["field"]).to = s["to"]
         elif kind == "wrap":
             if self.inner(name) is None:
-                return f"{s['field']} uses a macro or concatenation; protect it manually"
+                return f"{s['field']} is made of macros or parts, so its terms are to be put in braces by hand"
             self.terms.setdefault(name, []).append(s["term"])
         return None
 
@@ -192,7 +192,7 @@ def apply_changes(text: str, accepted: list[dict]) -> tuple[str, list[str], list
     """(new text, ids that were applied, (id, reason) of those that could not be)."""
     entry = next((i for i in parse_bibtex(text) if i["kind"] == "entry"), None)
     if entry is None:
-        return text, [], [(s["id"], "Entry could not be parsed") for s in accepted]
+        return text, [], [(s["id"], "The text is no entry") for s in accepted]
     plan, applied, skipped = _Plan(entry), [], []
     for s in sorted(accepted, key=lambda s: PATCH_ORDER.index(s["kind"])):
         reason = plan.take(s)

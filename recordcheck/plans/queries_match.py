@@ -9,7 +9,7 @@ from recordcheck.config import FAILURES
 from recordcheck.functions.text import normalized, title_similarity
 from recordcheck.operators.candidates import build_candidates, first_fit, group_records, merge_records, select_candidate
 from recordcheck.operators.checks import doi_checks
-from recordcheck.operators.score import confidence_for, rounded, weighted_score, year_score
+from recordcheck.operators.score import WRONG_DOI, confidence_for, rounded, weighted_score, year_score
 from recordcheck.plans.registry import letters, query, table, text
 from recordcheck.schema import WORK, WORK_FIELDS
 from recordcheck.sources import payloads
@@ -218,19 +218,18 @@ def paced_requests(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_partkey, 'the ' || p_name AS t FROM part WHERE p_size < 40), w AS (SELECT p_name, p_name || ' study' AS t FROM n),
-    p AS (SELECT c.p_partkey, w.p_name, w.t, CASE WHEN c.t = 'the ' || w.p_name THEN 2.0 / 3 ELSE 1.0 / 3 END AS dice, 1 - levenshtein(c.t, w.t)::DOUBLE / greatest(length(c.t), length(w.t)) AS edit FROM c, w),
+    """WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_partkey, 'the ' || p_name AS t FROM part), w AS (SELECT p_name, p_name || ' study' AS t FROM n),
+    p AS (SELECT c.p_partkey, w.p_name, w.t, len(list_intersect(string_split(c.t, ' '), string_split(w.t, ' '))) / 3.0 AS dice, 1 - levenshtein(c.t, w.t)::DOUBLE / greatest(length(c.t), length(w.t)) AS edit FROM c, w),
     s AS (SELECT *, 0.6 * dice + 0.4 * edit AS sim FROM p WHERE dice > 0.5)
     SELECT p_partkey, p_name, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY sim DESC, t) AS INTEGER) AS place, round(sim, 6) AS similarity FROM s WHERE sim >= 0.55 QUALIFY place <= 3"""
 )
 def title_search(spark, sf_dir):
     """Titles found by rare words, the three most similar of each."""
     part = table(spark, sf_dir, "part")
-    wanted = part.filter("p_size < 40").select(F.col("p_partkey").alias("citation_id"), text("the ", F.col("p_name")).alias("norm_title"))
+    wanted = part.select(F.col("p_partkey").alias("citation_id"), text("the ", F.col("p_name")).alias("norm_title"))
     works = part.select("p_name").distinct().select(work(title=text(F.col("p_name"), " study"), venue=F.col("p_name")).alias("work"))
-    hits = search_titles(wanted, with_norm_title(works), 3, 0.55).filter(F.split("work.venue", " ")[0].isNotNull())
-    rows = hits.select(F.col("citation_id").alias("p_partkey"), F.col("work.venue").alias("p_name"), "place", "similarity").join(part.select("p_partkey", F.col("p_name").alias("own")), "p_partkey").filter("p_name = own")
-    return rows.select("p_partkey", "p_name", "place", F.round("similarity", 6).alias("similarity"))
+    hits = search_titles(wanted, with_norm_title(works), 3, 0.55)
+    return hits.select(F.col("citation_id").alias("p_partkey"), F.col("work.venue").alias("p_name"), "place", F.round("similarity", 6).alias("similarity"))
 
 
 # ---- scores and candidates ----
@@ -350,7 +349,7 @@ def doi_check_levels(spark, sf_dir):
     k = F.col("p_partkey") % 5
     raw = F.when(k == 0, "n/a").otherwise(text("10.5555/", F.col("p_partkey")))
     status = F.when(k == 1, "NO RECORD FOUND").when(k == 2, "RATE LIMITED").otherwise("OK")
-    against = F.when(k == 3, F.array(F.lit("The DOI belongs to a work with a different title."))).otherwise(F.array().cast("array<string>"))
+    against = F.when(k == 3, F.array(F.lit(WRONG_DOI))).otherwise(F.array().cast("array<string>"))
     score = F.struct(against.alias("contradictions"), F.lit("VERIFIED").alias("state"))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(doi_checks(raw, status, F.lit("http://x"), status, F.lit("Crossref"), score, F.col("p_name"))).alias("c"))
     return rows.select("p_partkey", "c.id", "c.state")

@@ -33,6 +33,9 @@ class Limits:
     entries: int = 20_000
 
 
+# Fixed value: entries that a list shows at once.
+SHOWN = 500
+
 # Months that need no definition.
 MONTHS = {
     "jan": "January", "feb": "February", "mar": "March", "apr": "April", "may": "May", "jun": "June", "jul": "July", "aug": "August",
@@ -311,11 +314,12 @@ def first_fields(rows: DataFrame) -> DataFrame:
 def with_context(rows: DataFrame, context: DataFrame, own: DataFrame) -> DataFrame:
     """Fields with macros expanded anew under a library's definitions (name, parts), which the file's own go before.
 
-    A library is one file, so it has 20,000 definitions at most: they travel with the function. A file's own definitions are
-    one map a file, under the same bound.
+    A library is one file of at most `Limits.file_chars` characters, which bounds its definitions: they travel with the
+    function, all of them; of several for one name any that `context` holds may be given once only (see `strings`). A file's
+    own definitions are one map a file, under the same bound.
     """
     plain = lambda parts: [{"kind": p["kind"], "text": p["text"]} for p in parts]
-    shared = {r["name"].lower(): plain(r["parts"]) for r in context.select("name", "parts").limit(Limits.entries).collect()}
+    shared = {r["name"].lower(): plain(r["parts"]) for r in context.select("name", "parts").collect()}
 
     def expand(parts, definitions):
         known = shared | {k: plain(v) for k, v in dict(definitions if definitions is not None else ()).items()}
@@ -364,6 +368,19 @@ def filter_choices(choices: DataFrame, query: str) -> DataFrame:
     return choices.filter(has("key") | has("title") | F.contains(F.coalesce("year", F.lit("")), F.lit(needle)))
 
 
+def shown_choices(choices: DataFrame, query: str = "", limit: int = SHOWN) -> DataFrame:
+    """The first `limit` choices of each file that contain the query, in the order of the file."""
+    order = Window.partitionBy("file_id").orderBy("index")
+    return filter_choices(choices, query).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= limit).drop("__n")
+
+
+def list_summary(parsed: DataFrame) -> DataFrame:
+    """(file_id, keys, entries, errors): a file's distinct citation keys, and how many entries and unreadable parts it has."""
+    entry = F.col("kind") == "entry"
+    keys = F.sort_array(F.collect_set(F.when(entry, F.col("key"))))
+    return parsed.groupBy("file_id").agg(keys.alias("keys"), F.count_if(entry).alias("entries"), F.count_if(F.col("kind") == "error").alias("errors"))
+
+
 def read_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """(file_id, text) of .bib, .bibtex and .txt files of at most as many bytes as a file may have characters."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -63,7 +63,7 @@ def test_patches():
     assert apply_changes("@a{k, t={x}, u={y}}", [change("r", "u", "remove")])[0] == "@a{k, t={x}}"
     assert apply_changes("@a{k,\n  t = {x},\n  u = {y}\n}", [change("r", "t", "remove")])[0] == "@a{k,\n  u = {y}\n}"
     assert apply_changes("@a{k}", [change("d", "doi", "set", value="v")])[0] == "@a{k,\n  doi = {v}}"
-    assert apply_changes("no entry", [change("d", "doi", "set", value="v")])[2] == [("d", "Entry could not be parsed")]
+    assert apply_changes("no entry", [change("d", "doi", "set", value="v")])[2] == [("d", "The text is no entry")]
 
 
 def test_layout():
