@@ -35,8 +35,8 @@ def person(family: Column, given: str | Column) -> Column:
 _FIELDS = ("title", "year", "venue", "publisher", "pages", "doi", "type", "is_preprint")
 
 
-def _mapped(rows, mapper, payload: Column):
-    w = rows.select("p_partkey", mapper(payload).alias("w"))
+def _mapped(rows, source: str, payload: Column):
+    w = payloads.with_work(rows.select("p_partkey", payload.alias("payload")), source, F.col("payload"), work="w")
     names = F.array_join(F.transform("w.authors", lambda a: F.concat_ws("|", a["family"], a["given"], a["literal"])), ";")
     return w.select("p_partkey", *[F.coalesce(F.col(f"w.{f}").cast("string"), F.lit("-")).alias(f) for f in _FIELDS], names.alias("names"), F.array_join("w.related_dois", ",").alias("related"))
 
@@ -60,7 +60,7 @@ def map_crossref(spark, sf_dir):
         DOI=text("10.5555/C", key), title=F.array(text("<i>", name, "</i>")), subtitle=subtitle, author=author, **dated, **{"container-title": F.array(text("J &amp; ", F.col("p_brand")))}, publisher=F.col("p_brand"), page="1-9",
         type=F.when(key % 3 == 0, "posted-content").otherwise("journal-article"), relation=relation,
     )
-    return _mapped(table(spark, sf_dir, "part"), payloads.map_crossref, payload)
+    return _mapped(table(spark, sf_dir, "part"), "Crossref", payload)
 
 
 @query(
@@ -78,7 +78,7 @@ def map_datacite(spark, sf_dir):
     plain = F.struct(*[c.alias(n) for n, c in attributes.items()], F.col("p_brand").alias("publisher"))
     nested = F.struct(*[c.alias(n) for n, c in attributes.items()], F.struct(F.col("p_brand").alias("name")).alias("publisher"))
     payload = F.when(key % 3 == 0, F.to_json(F.struct(plain.alias("attributes")))).otherwise(F.to_json(F.struct(nested.alias("attributes"))))
-    return _mapped(table(spark, sf_dir, "part"), payloads.map_datacite, payload)
+    return _mapped(table(spark, sf_dir, "part"), "DataCite", payload)
 
 
 @query(
@@ -91,7 +91,7 @@ def map_dblp(spark, sf_dir):
     common = dict(title=text(F.col("p_name"), "."), year=F.col("p_size").cast("int") + 1950, pages="1-2", type="Journal Articles", key=text("k/", key), doi=F.when(key % 3 == 0, text("10.5555/b", key)))
     one = _json_object(**common, venue="CoRR", volume=text("abs/2401.", key), authors=F.struct(F.struct(F.lit("Jo de la Cruz 0003").alias("text")).alias("author")), ee=F.array(F.lit("https://arxiv.org/abs/1")))
     many = _json_object(**common, venue=F.array("p_brand", F.lit("x")), authors=F.struct(F.array(F.struct(F.lit("Jo Doe").alias("text")), F.struct(F.lit("Al Roe").alias("text"))).alias("author")), ee="https://x.org")
-    return _mapped(table(spark, sf_dir, "part"), payloads.map_dblp, F.when(key % 2 == 0, one).otherwise(many))
+    return _mapped(table(spark, sf_dir, "part"), "DBLP", F.when(key % 2 == 0, one).otherwise(many))
 
 
 @query(
@@ -104,7 +104,7 @@ def map_openalex(spark, sf_dir):
     people = F.array(F.struct(F.struct(F.lit("Jo B. Doe").alias("display_name")).alias("author"), none.alias("raw_author_name")), F.struct(F.struct(none.alias("display_name")).alias("author"), F.lit("Roe").alias("raw_author_name")))
     biblio = F.struct(F.lit("4").alias("first_page"), F.when(key % 2 == 0, "9").otherwise("4").alias("last_page"))
     payload = _json_object(id="W", doi=text("https://doi.org/10.5555/o", key), display_name=F.col("p_name"), publication_year=F.col("p_size") + 1950, type="article", authorships=people, primary_location=F.struct(place.alias("source")), biblio=biblio)
-    return _mapped(table(spark, sf_dir, "part"), payloads.map_openalex, payload)
+    return _mapped(table(spark, sf_dir, "part"), "OpenAlex", payload)
 
 
 @query(
@@ -121,7 +121,7 @@ def map_arxiv(spark, sf_dir):
         "<feed><title>query</title><entry>\n<id>http://arxiv.org/abs/2401.", number, "v2</id><published>", F.col("p_size") + 1950, "-01-01</published><title>", title,
         '</title><author>\n<name>Jo van Dam</name></author><author><name>Al Roe</name></author><arxiv:doi xmlns:arxiv="u">10.5555/pub', key, "</arxiv:doi></entry><entry><title>other</title></entry></feed>",
     )
-    return _mapped(table(spark, sf_dir, "part"), payloads.map_arxiv, feed)
+    return _mapped(table(spark, sf_dir, "part"), "arXiv", feed)
 
 
 # ---- lookups ----
@@ -272,9 +272,22 @@ def first_fit_groups(spark, sf_dir):
     return sets.select("p_brand", F.explode("g").alias("grp")).groupBy("p_brand", "grp").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT p_brand AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place, lower(p_name || ' of the ' || p_type || ' kind') AS t, p_size AS y FROM part),
+    w AS (SELECT b, place, t, y, string_split(t, ' ') AS l FROM p),
+    m AS (SELECT x.b, x.place, e.place AS i, x.t = e.t AS twin, abs(x.y - e.y) <= 1 AND (x.t = e.t OR greatest(
+        0.6 * 2 * list_sum(list_transform(list_distinct(x.l), lambda v: least(len(list_filter(x.l, lambda u: u = v)), len(list_filter(e.l, lambda u: u = v)))))::DOUBLE / (len(x.l) + len(e.l))
+        + 0.4 * (1 - levenshtein(x.t, e.t) / greatest(length(x.t), length(e.t))),
+        CASE WHEN least(length(x.t), length(e.t)) >= 20 AND (starts_with(x.t, e.t) OR starts_with(e.t, x.t)) THEN 0.9 ELSE 0 END) >= 0.9) AS same FROM w x JOIN w e ON e.b = x.b AND e.place < x.place),
+    listed AS (SELECT p.b, p.place, coalesce(list(i) FILTER (same), []) AS same, coalesce(list(i) FILTER (twin), []) AS twin FROM p LEFT JOIN m ON m.b = p.b AND m.place = p.place GROUP BY ALL),
+    joined AS (SELECT b, place, [0] AS g FROM listed WHERE place = 0 UNION ALL
+      SELECT b, place, list_append(g, CASE WHEN j IS NULL THEN greatest(list_max(g) + 1, 0) WHEN list_contains(list_transform(twin, lambda k: g[k + 1]), j) THEN -1 ELSE j END)
+      FROM (SELECT l.b, l.place, l.twin, r.g, list_min(list_filter(list_transform(l.same, lambda k: r.g[k + 1]), lambda v: v >= 0)) AS j FROM joined r JOIN listed l ON l.b = r.b AND l.place = r.place + 1)),
+    whole AS (SELECT b, arg_max(g, place) AS g FROM joined GROUP BY b)
+    SELECT citation_id, place, "group" FROM (SELECT b AS citation_id, unnest(range(len(g)))::INTEGER AS place, unnest(g)::INTEGER AS "group" FROM whole) WHERE "group" >= 0"""
+)
 def group_works(spark, sf_dir):
-    """Parts of a brand as records in order of arrival: groups depend on that order, so there is no SQL."""
+    """Parts of a brand as records in order of arrival: each joins the first group that it matches, repeats are left out."""
     rows = table(spark, sf_dir, "part")
     w = work(title=text(F.col("p_name"), " of the ", F.col("p_type"), " kind"), year=F.col("p_size") + 1950, sources=from_source("Crossref"))
     return group_records(rows.select(F.col("p_brand").alias("citation_id"), F.col("p_partkey").alias("pos"), w.alias("work"))).select("citation_id", "place", "group")

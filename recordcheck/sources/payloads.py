@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordcheck.functions.arrow import arrow_function
@@ -64,8 +64,9 @@ def _work(source: str, record_url: Column, native_id: Column, retrieved_at: Colu
     return F.struct(*[defaults.get(n, F.lit(None)).alias(n) for n in names]).cast(WORK)
 
 
-def _json(payload: str | Column, schema: str) -> Column:
-    return F.from_json(F.col(payload) if isinstance(payload, str) else payload, schema)
+def _json(payload: str | Column, schema: str, parsed: bool) -> Column:
+    value = F.col(payload) if isinstance(payload, str) else payload
+    return value if parsed else F.from_json(value, schema)
 
 
 _PARTS = "struct<`date-parts`:array<array<string>>>"
@@ -77,9 +78,9 @@ CROSSREF_SCHEMA = (
 )
 
 
-def map_crossref(payload: str | Column, retrieved_at: Column | None = None) -> Column:
+def map_crossref(payload: str | Column, retrieved_at: Column | None = None, parsed: bool = False) -> Column:
     """A work from a Crossref message."""
-    m = _json(payload, CROSSREF_SCHEMA)
+    m = _json(payload, CROSSREF_SCHEMA, parsed)
     title, subtitle, venue = (_first(m[c]) for c in ("title", "subtitle", "container-title"))
     full = F.when(F.coalesce(subtitle, F.lit("")) == "", title).when(F.contains(title, subtitle), title).otherwise(F.concat(title, F.lit(": "), subtitle))
     # A list of date parts that is there but empty still goes before the others.
@@ -106,9 +107,9 @@ DATACITE_SCHEMA = (
 )
 
 
-def map_datacite(payload: str | Column, retrieved_at: Column | None = None) -> Column:
+def map_datacite(payload: str | Column, retrieved_at: Column | None = None, parsed: bool = False) -> Column:
     """A work from a DataCite record."""
-    a = _json(payload, DATACITE_SCHEMA)["attributes"]
+    a = _json(payload, DATACITE_SCHEMA, parsed)["attributes"]
     doi = parse_doi(a["doi"])
     arxiv = F.when(is_arxiv_doi(doi), F.regexp_replace(doi, r"(?i)^10\.48550/arxiv\.", ""))
     none = F.lit(None).cast("string")
@@ -137,9 +138,9 @@ def map_datacite(payload: str | Column, retrieved_at: Column | None = None) -> C
 DBLP_SCHEMA = "authors struct<author:string>, title string, venue string, volume string, number string, pages string, year string, type string, key string, doi string, ee string, url string"
 
 
-def map_dblp(payload: str | Column, retrieved_at: Column | None = None) -> Column:
+def map_dblp(payload: str | Column, retrieved_at: Column | None = None, parsed: bool = False) -> Column:
     """A work from the info of a DBLP hit; any of its values may be a scalar or a list."""
-    i = _json(payload, DBLP_SCHEMA)
+    i = _json(payload, DBLP_SCHEMA, parsed)
     venue = _first(i["venue"])
     corr = F.coalesce(venue == "CoRR", F.lit(False))
     links = _list(i["ee"])
@@ -161,9 +162,9 @@ OPENALEX_SCHEMA = (
 )
 
 
-def map_openalex(payload: str | Column, retrieved_at: Column | None = None) -> Column:
+def map_openalex(payload: str | Column, retrieved_at: Column | None = None, parsed: bool = False) -> Column:
     """A work from an OpenAlex record."""
-    w = _json(payload, OPENALEX_SCHEMA)
+    w = _json(payload, OPENALEX_SCHEMA, parsed)
     place, biblio = w["primary_location"]["source"], w["biblio"]
     first, last = biblio["first_page"], biblio["last_page"]
     preprint_place = F.coalesce(F.regexp_like(place["display_name"], F.lit("(?i)arxiv")), F.lit(False))
@@ -209,3 +210,13 @@ def map_arxiv(payload: str | Column, retrieved_at: Column | None = None) -> Colu
 
 
 MAPPERS = {"Crossref": map_crossref, "DataCite": map_datacite, "DBLP": map_dblp, "OpenAlex": map_openalex, "arXiv": map_arxiv}
+SCHEMAS = {"Crossref": CROSSREF_SCHEMA, "DataCite": DATACITE_SCHEMA, "DBLP": DBLP_SCHEMA, "OpenAlex": OPENALEX_SCHEMA}
+
+
+def with_work(rows: DataFrame, source: str, payload: Column, retrieved_at: Column | None = None, work: str = "work") -> DataFrame:
+    """Rows with the work of a source's payload. JSON is parsed in a projection of its own, once for all values that are read
+    from it: a mapper over the text itself is planned with a parse for each of them."""
+    if source not in SCHEMAS:
+        return rows.withColumn(work, MAPPERS[source](payload, retrieved_at))
+    parsed = rows.withColumn("__parsed", F.from_json(payload, SCHEMAS[source]))
+    return parsed.withColumn(work, MAPPERS[source]("__parsed", retrieved_at, True)).drop("__parsed")
