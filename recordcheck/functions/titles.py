@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordcheck.config import KeyScheme
@@ -108,6 +108,14 @@ def unique_key(key: Column, taken: Column, separator: str = "_") -> Column:
     return run(key, taken)
 
 
+def keys_by_stem(keys: DataFrame, separator: str = "_") -> DataFrame:
+    """(file_id, key) -> (file_id, stem, existing_keys): of each file the keys that are a stem or a stem with a suffix, so that
+    a row holds 27 at most, however many keys its file has. Only these decide whether the stem or one of its suffixes is free."""
+    bare = F.regexp_replace("key", re.escape(separator) + "[a-z]$", "")
+    stems = keys.filter("key IS NOT NULL").select("file_id", "key", F.explode(F.array_distinct(F.array(F.col("key"), bare))).alias("stem"))
+    return stems.groupBy("file_id", "stem").agg(F.collect_set("key").alias("existing_keys"))
+
+
 def suffixed_keys(base: Column, place: Column, separator: str = "_") -> Column:
     """When all keys of a file are made anew: the first keeps its base, the others get a, b, ...; null after z."""
     letter = F.chr(F.lit(95) + place)

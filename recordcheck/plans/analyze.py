@@ -124,13 +124,12 @@ def analyze(files: DataFrame, sources: Sources, settings: Settings = Settings(),
     checks = checked.select("citation_id", doi_checks(F.col("raw_doi"), F.col("resolved"), F.col("target"), F.col("status"), F.col("source"), F.col("score"), F.col("work.title")).alias("doi_checks"))
     chosen = selection.join(candidates, (selection["citation_id"] == candidates["citation_id"]) & (selection["selected"] == candidates["place"])).select(selection["citation_id"], F.struct("work", "records", "score").alias("cand"))
     empty = F.array().cast(f"array<{CHECK}>")
-    keys = citations.groupBy("file_id").agg(F.collect_set("key").alias("existing_keys"))
-    ready = citations.join(chosen, "citation_id", "left").join(checks, "citation_id", "left").join(keys, "file_id").withColumn("doi_checks", F.coalesce("doi_checks", empty))
+    ready = citations.join(chosen, "citation_id", "left").join(checks, "citation_id", "left").withColumn("doi_checks", F.coalesce("doi_checks", empty))
     if url_checks is None:
         ready = ready.withColumn("url_check", F.lit(None).cast("struct<state:string,label:string,detail:string,final_url:string,page_title:string>"))
     else:
         ready = ready.join(url_checks.select("citation_id", F.struct("state", "label", "detail", "final_url", "page_title").alias("url_check")), "citation_id", "left")
-    evaluated = stored(evaluate(stored(ready, "ready"), settings), "evaluated")
+    evaluated = stored(evaluate(stored(ready, "ready"), settings, citations.select("file_id", "key")), "evaluated")
     log = statuses[0]
     for s in statuses[1:]:
         log = log.unionByName(s)

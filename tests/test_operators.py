@@ -1,9 +1,11 @@
 """Matching, review, lookups, caching and the whole run."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from recordcheck.functions.titles import free_key, keys_by_stem
 from recordcheck.operators.candidates import first_fit, seed_labels
 from recordcheck.operators.evaluate import check_rows, comparison_rows, suggestion_rows
 from recordcheck.operators.review import accept_all, decide
@@ -77,3 +79,19 @@ def test_unavailable_is_not_absent(spark):
     assert {r["status"] for r in run.statuses.filter("source <> 'DOI resolver'").collect()} == {"RATE LIMITED"}
     checks = {r["id"]: r["state"] for r in check_rows(run.evaluated).filter("citation_id = 'f:0'").collect()}
     assert checks["doi-meta"] == "NOT CHECKED" and checks["match"] == "UNVERIFIED"
+
+
+def test_keys_by_stem(spark):
+    """A stem's own keys decide on a free key as all keys of the file do; a file's other keys and other files' do not matter."""
+    r = random.Random(5)
+    suffix = lambda sep: r.choice(["", *(sep + c for c in "abcz"), sep, sep + "aa", "x"])
+    for sep in ("_", "", "."):
+        keys = {f: {r.choice(("doe2020", "doe2021", "x.y", "")) + suffix(sep) for _ in range(12)} for f in ("f", "g")}
+        keys["f"] |= {f"full{sep}{chr(97 + i)}" for i in range(26)} | {"full"}
+        rows = spark.createDataFrame([(f, k) for f, ks in keys.items() for k in ks] + [("f", None)], "file_id string, key string")
+        found = {(x["file_id"], x["stem"]): x["existing_keys"] for x in keys_by_stem(rows, sep).collect()}
+        assert max(map(len, found.values())) == 27
+        for f, ks in keys.items():
+            for base in ("doe2020", "doe2021", "x.y", "full", "new"):
+                for own in sorted(ks):
+                    assert free_key(base, set(found.get((f, base), ())) - {own}, sep) == free_key(base, ks - {own}, sep)
