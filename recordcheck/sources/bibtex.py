@@ -167,6 +167,47 @@ def _entry(r: _Reader, at: int, kind: tuple[str, int, int], opened: str, close:
     }
 
 
+def item_at(text: str, at: int, limits: Limits) -> tuple[dict | None, int, bool]:
+    """What the @ at a position begins -> (item, its end, whether a type was read).
+
+    The item is None for an @ in running text, and of kind error, with message and start, where it cannot be read.
+    """
+    r, named = _Reader(text, limits), False
+    r.at = at + 1
+    try:
+        kind = r.name('entry type after "@"')
+        opened = r.blank()
+        if opened not in ("{", "("):
+            return None, at + 1, False
+        named, close, word = True, "}" if opened == "{" else ")", kind[0].lower()
+        if word == "comment":
+            if opened == "{":
+                r.group(False)
+            else:
+                r.at = text.find(")", r.at) + 1 or len(text)
+            item = {"kind": "comment", "text": text[at : r.at]}
+        elif word in ("preamble", "string"):
+            r.at += 1
+            item = {"kind": word}
+            if word == "string":
+                item["name"] = r.name("string name")[0]
+                r.take("=")
+            item["parts"] = r.value()[0]
+            r.take(close)
+        else:
+            r.at += 1
+            item = _entry(r, at, kind, opened, close)
+        return item | {"start": at, "end": r.at}, r.at, True
+    except BibSyntaxError as e:
+        return {"kind": "error", "message": str(e), "start": e.position}, at + 1, named
+
+
+def resumed(text: str, at: int) -> int:
+    """Where reading goes on after an error at the @ of that position: the next @ that follows white space, -1 if none does."""
+    m = _RESUME.search(text, at + 1)
+    return m.start() if m else -1
+
+
 def parse_bibtex(text: str, limits: Limits = Limits()) -> list[dict]:
     """Items in text order; errors come where they were met, with their position as start and a 1-based line."""
     items: list[dict] = []
@@ -181,46 +222,24 @@ def parse_bibtex(text: str, limits: Limits = Limits()) -> list[dict]:
             items.append({"kind": "comment", "text": text[free:end], "start": free, "end": end})
 
     while at >= 0:
-        r = _Reader(text, limits)
-        r.at = at + 1
-        try:
-            kind = r.name('entry type after "@"')
-            opened = r.blank()
-            if opened not in ("{", "("):  # an @ in running text
-                at = text.find("@", at + 1)
-                continue
+        item, resume, named = item_at(text, at, limits)
+        if item is None:
+            at = text.find("@", at + 1)
+            continue
+        if named:
             loose(at)
-            close = "}" if opened == "{" else ")"
-            word = kind[0].lower()
-            if word == "comment":
-                if opened == "{":
-                    r.group(False)
-                else:
-                    r.at = text.find(")", r.at) + 1 or len(text)
-                item = {"kind": "comment", "text": text[at : r.at]}
-            elif word in ("preamble", "string"):
-                r.at += 1
-                item = {"kind": word}
-                if word == "string":
-                    item["name"] = r.name("string name")[0]
-                    r.take("=")
-                item["parts"] = r.value()[0]
-                r.take(close)
-            else:
-                r.at += 1
-                item = _entry(r, at, kind, opened, close)
-                entries += 1
-            items.append(item | {"start": at, "end": r.at})
-            free = r.at
-            if entries > limits.entries:
-                error("Too many entries; stopped parsing", r.at)
-                return items
-            at = text.find("@", r.at)
-        except BibSyntaxError as e:
-            error(str(e), e.position)
-            m = _RESUME.search(text, at + 1)
-            free = m.start() if m else len(text)
-            at = m.start() if m else -1
+        if item["kind"] == "error":
+            error(item["message"], item["start"])
+            at = resumed(text, at)
+            free = len(text) if at < 0 else at
+            continue
+        entries += item["kind"] == "entry"
+        items.append(item)
+        free = resume
+        if entries > limits.entries:
+            error("Too many entries; stopped parsing", resume)
+            return items
+        at = text.find("@", resume)
     loose(len(text))
     return items
 
