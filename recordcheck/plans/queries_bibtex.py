@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from recordcheck.operators.checks import structural_checks
 from recordcheck.operators.citations import build_citations
 from recordcheck.plans.registry import query, table, text
 from recordcheck.sources import bibtex
-from recordcheck.sources.bibtex import entries, fields, filter_choices, inherited_fields, items, list_entries, safe_filename, with_context
+from recordcheck.sources.bibtex import entries, fields, filter_choices, inherited_fields, items, list_entries, read_files, safe_filename
+from recordcheck.sources.bibfiles import read_bibtex, write_bibtex
+from recordcheck.sources.macros import items_with_definitions, with_definitions
+from recordcheck.storage import shared_folder
 
 
 def part_entry() -> Column:
@@ -56,10 +61,27 @@ def bibtex_context_macros(spark, sf_dir):
     made = text('@string{ser = "own"}\n@book{k, publisher = {', F.col("p_type"), '} # house, series = ser}')
     parsed = parts_parsed(spark, sf_dir, made)
     library = items(spark.createDataFrame([("lib", '@string{house = " (shared)"} @string{ser = "library"}')], "file_id string, text string"))
-    rows = with_context(fields(parsed), bibtex.strings(library), bibtex.strings(parsed))
+    rows = with_definitions(fields(parsed), bibtex.strings(parsed), bibtex.strings(library).drop("file_id"))
     return rows.groupBy(F.col("file_id").alias("p_partkey")).pivot("name", ["publisher", "series"]).agg(F.first("text"))
 
 
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '1234' || p_name ELSE '12345678m9' END AS deep, CASE WHEN p_partkey % 3 = 0 THEN '234' || p_name ELSE '2345678' || p_brand END AS series,
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'm9' END AS undefined FROM part"""
+)
+def bibtex_library_macros(spark, sf_dir):
+    """A library of definitions for each brand, a chain of nine; every third file has one of its own. Eight are followed."""
+    parts = table(spark, sf_dir, "part")
+    chain = "".join(f"@string{{m{k} = {{{k}}} # m{k + 1}}}\n" for k in range(1, 9))
+    libraries = items(parts.select("p_brand").distinct().withColumn("text", text(chain + "@string{M9 = {", F.col("p_brand"), "}}")), "p_brand")
+    own = F.when(F.col("p_partkey") % 3 == 0, text("@string{M5 = {", F.col("p_name"), "}}\n")).otherwise("")
+    parsed = parts_parsed(spark, sf_dir, text("@book{k, deep = m1, series = m2}\n", own))
+    links = parts.select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("library"))
+    rows = with_definitions(fields(parsed), bibtex.strings(parsed), bibtex.strings(libraries).withColumnRenamed("file_id", "library"), links)
+    put = rows.groupBy(F.col("file_id").alias("p_partkey")).pivot("name", ["deep", "series"]).agg(F.first(F.struct("text", "unresolved")))
+    return put.select("p_partkey", F.col("deep.text").alias("deep"), F.col("series.text").alias("series"), F.array_join(F.concat("deep.unresolved", "series.unresolved"), ",").alias("undefined"))
+
+
 @query(
     """SELECT n_nationkey, u.n AS name, u.t AS text FROM nation JOIN region ON n_regionkey = r_regionkey,
     LATERAL (SELECT * FROM (VALUES ('booktitle', r_name), ('publisher', 'P-' || r_regionkey), ('volume', '7')) AS v(n, t)) AS u"""
@@ -111,6 +133,39 @@ def entry_filter(spark, sf_dir):
     return chosen.select("key", "title")
 
 
+def _part_files(spark, sf_dir: str) -> str:
+    """A folder with a file for each brand, to which parts' entries were written."""
+    folder = f"{shared_folder(spark)}/part-files-{uuid.uuid4().hex}"
+    made = text("@string{b = {", F.col("p_brand"), "}}\n", F.regexp_replace(part_entry(), r'publisher = ".*"', "publisher = b"))
+    write_bibtex(table(spark, sf_dir, "part").select("p_brand", made.alias("text")), folder, "p_brand")
+    return folder
+
+
+@query(
+    """SELECT p_partkey, replace(p_brand, '#', '_') || '.bib' AS file, p_name AS title, p_brand AS publisher, CAST(1950 + p_size AS INTEGER) AS year,
+    '@book{p' || p_partkey || ',\n  title = {' || p_name || '},\n  publisher = b,\n  year = ' || (1950 + p_size) || ',\n  series = {' || p_type || '} # " line"\n}' AS source FROM part"""
+)
+def bibtex_files(spark, sf_dir):
+    """Files are written, cut into ranges of 2,000 bytes that tasks of their own read, and entries cut from whole files by their positions."""
+    folder = _part_files(spark, sf_dir)
+    rows = entries(items_with_definitions(read_bibtex(spark, folder, 2000, wholeBytes=0)))
+    of = lambda name: F.get(F.filter("fields", lambda f: f["name"] == name), F.lit(0))["text"]
+    file = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
+    whole = read_files(spark, folder).select(file("file_id").alias("file"), F.col("text").alias("whole"))
+    cut = rows.withColumn("file", file("file_id")).join(whole, "file").withColumn("source", F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start")))
+    return cut.select(F.substring("key", 2, 20).cast("bigint").alias("p_partkey"), "file", of("title").alias("title"), of("publisher").alias("publisher"), of("year").cast("int").alias("year"), "source")
+
+
+@query("SELECT replace(p_brand, '#', '_') || '.bib' AS file, count(*) AS entries, count(*) AS definitions, max(7 * n) AS last_line FROM (SELECT *, row_number() OVER (PARTITION BY p_brand) AS n FROM part) GROUP BY p_brand")
+def bibtex_file_totals(spark, sf_dir):
+    """Files are written and read whole: entries and definitions of each, and its number of lines."""
+    folder = _part_files(spark, sf_dir)
+    lines = read_files(spark, folder).select("file_id", F.regexp_count("text", F.lit("\n")).alias("last_line"))
+    counted = lambda kind: F.count_if(F.col("kind") == kind)
+    rows = read_bibtex(spark, folder).groupBy(F.regexp_extract("file_id", "([^/]+)$", 1).alias("file")).agg(counted("entry").alias("entries"), counted("string").alias("definitions"))
+    return rows.join(lines.select(F.regexp_extract("file_id", "([^/]+)$", 1).alias("file"), F.col("last_line").cast("bigint")), "file")
+
+
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'p_' || p_partkey || '_x.bib' WHEN 1 THEN 'entry.bib' ELSE left(repeat('ab', 50), 80) || '.bib' END AS file FROM part")
 def export_names(spark, sf_dir):
     key = F.col("p_partkey")

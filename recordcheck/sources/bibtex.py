@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from recordcheck.functions.arrow import arrow_function
 from recordcheck.functions.latex import decode_latex
 from recordcheck.schema import ITEM_COLUMNS
 
@@ -330,27 +329,6 @@ def first_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumn("name", F.lower("name")).groupBy("file_id", "pos", "name").agg(F.min_by("text", "field_pos").alias("text"))
 
 
-def with_context(rows: DataFrame, context: DataFrame, own: DataFrame) -> DataFrame:
-    """Fields with macros expanded anew under a library's definitions (name, parts), which the file's own go before.
-
-    A library is one file of at most `Limits.file_chars` characters, which bounds its definitions: they travel with the
-    function, all of them; of several for one name any that `context` holds may be given once only (see `strings`). A file's
-    own definitions are one map a file, under the same bound.
-    """
-    plain = lambda parts: [{"kind": p["kind"], "text": p["text"]} for p in parts]
-    shared = {r["name"].lower(): plain(r["parts"]) for r in context.select("name", "parts").collect()}
-
-    def expand(parts, definitions):
-        known = shared | {k: plain(v) for k, v in dict(definitions if definitions is not None else ()).items()}
-        text, missing = value_text(plain(parts), known)
-        return {"text": text, "unresolved": missing}
-
-    maps = own.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "parts"))).alias("definitions"))
-    expanded = arrow_function(expand, "struct<text:string,unresolved:array<string>>")("parts", "definitions")
-    joined = rows.join(maps, "file_id", "left").withColumn("x", expanded)
-    return joined.withColumn("text", F.col("x.text")).withColumn("unresolved", F.col("x.unresolved")).drop("x", "definitions")
-
-
 def inherited_fields(rows: DataFrame) -> DataFrame:
     """(file_id, pos, name, text) that entries get from those their crossref and xdata fields name.
 
@@ -410,9 +388,3 @@ def read_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> Dat
 def safe_filename(key: str | Column) -> Column:
     base = F.substring(F.regexp_replace(F.coalesce(key if isinstance(key, Column) else F.col(key), F.lit("entry")), "[^A-Za-z0-9._-]+", "_"), 1, 80)
     return F.concat(F.when(base == "", F.lit("entry")).otherwise(base), F.lit(".bib"))
-
-
-def write_files(entry_texts: DataFrame, path: str) -> None:
-    """(key, text) -> text files below a folder for each file name; each text ends in a line feed."""
-    body = F.regexp_replace("text", r"\n\z", "")
-    entry_texts.select(safe_filename("key").alias("file"), body.alias("value")).write.partitionBy("file").mode("overwrite").text(path)
