@@ -27,6 +27,8 @@ NOTICES = (
 
 #: Longest text that edit distance compares.
 EDIT_CHARS = 2000
+# Fixed value: characters of a title from which it may begin another and count as like it.
+FORGIVEN_CHARS = 20
 _FOLDED = str.maketrans({"ß": "ss", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ı": "i"}) | dict.fromkeys(range(0x300, 0x370))
 _DASH = re.compile("[‐-―−-]")
 _OTHER = re.compile(r"[^\w\s]|_")
@@ -83,7 +85,7 @@ def title_similarity(a: Column, b: Column) -> Column:
     def of(a: Column, b: Column) -> Column:
         blend = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * token_similarity(words(a), words(b)) + 0.4 * edit_similarity(a, b)))
         shorter = F.least(F.char_length(a), F.char_length(b))
-        least = F.when((shorter >= 20) & (F.startswith(a, b) | F.startswith(b, a)), 0.9).otherwise(0.0)
+        least = F.when((shorter >= FORGIVEN_CHARS) & (F.startswith(a, b) | F.startswith(b, a)), 0.9).otherwise(0.0)
         return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(blend, least))
 
     return bound(of, F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
