@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,16 @@ from recordcheck.config import FAILURES
 from recordcheck.functions.text import normalized, title_similarity
 from recordcheck.operators.candidates import build_candidates, first_fit, group_records, merge_records, select_candidate
 from recordcheck.operators.checks import doi_checks
+from recordcheck.operators.prefixes import prefix_pairs
 from recordcheck.operators.score import WRONG_DOI, confidence_for, rounded, weighted_score, year_score
 from recordcheck.plans.registry import letters, query, table, text
 from recordcheck.schema import WORK, WORK_FIELDS
 from recordcheck.sources import payloads
+from recordcheck.sources.answers import AnswersLookup, write_answers
 from recordcheck.sources.bibtex import fields, items
 from recordcheck.sources.cache import lifetime, paced_starts, replay_cache
 from recordcheck.sources.lookups import SnapshotSource, json_status, lookup_doi, related_works, resolver_status, search_titles, unavailable, with_norm_title
+from recordcheck.storage import shared_folder
 
 
 def work(**values: Column) -> Column:
@@ -149,6 +154,37 @@ def lookup_fallback(spark, sf_dir):
     return found.select(F.col("citation_id").alias("p_partkey"), "status", "source", "work.title")
 
 
+@query(
+    """WITH a AS (SELECT *, p_partkey % 2 = 0 AND p_partkey % 10 > 0 AND p_partkey % 14 > 0 AS one, p_partkey % 3 = 0 AS two FROM part)
+    SELECT p_partkey, CASE WHEN one OR two THEN 'OK' WHEN p_partkey % 10 = 0 THEN 'RATE LIMITED' WHEN p_partkey % 14 = 0 THEN 'LOOKUP FAILED' ELSE 'NO RECORD FOUND' END AS status,
+    CASE WHEN one THEN 'Crossref' WHEN two THEN 'DataCite' END AS source, CASE WHEN one THEN p_name || ' at Crossref' WHEN two THEN p_name || ' at DataCite' END AS title FROM a"""
+)
+def answers_lookup(spark, sf_dir):
+    """Services' answers are stored in buckets and read through the data source: Crossref refuses some keys and sends HTML for others."""
+    key, folder = F.col("p_partkey"), f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part")
+    doi, title = text("10.5555/", key), lambda source: text(F.col("p_name"), f" at {source}")
+    one = F.when(key % 14 == 0, "<html>busy</html>").otherwise(_json_object(DOI=doi, title=F.array(title("Crossref"))))
+    two = F.to_json(F.struct(F.struct(doi.alias("doi"), F.array(F.struct(title("DataCite").alias("title"))).alias("titles")).alias("attributes")))
+    made = part.filter(key % 2 == 0).select(F.lit("Crossref").alias("source"), doi.alias("key"), F.when(key % 10 == 0, 429).otherwise(200).alias("http"), one.alias("body"))
+    write_answers(made.unionByName(part.filter(key % 3 == 0).select(F.lit("DataCite").alias("source"), doi.alias("key"), F.lit(200).alias("http"), two.alias("body"))), folder, 16)
+    found = lookup_doi(_wanted(spark, sf_dir), *(AnswersLookup(spark, name, folder, buckets=16) for name in ("Crossref", "DataCite")))
+    return found.select(F.col("citation_id").alias("p_partkey"), "status", "source", "work.title")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_name || ' of the ' || p_type AS a FROM part), w AS (SELECT p_partkey, p_name || ' of the ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN ' kind ' || p_size ELSE '' END AS b FROM part)
+    SELECT a, p_partkey, b FROM n JOIN w ON starts_with(b, a) WHERE length(a) >= 20 UNION ALL SELECT a, p_partkey, b FROM n JOIN w ON starts_with(a, b) AND a <> b WHERE length(b) >= 20"""
+)
+def title_beginnings(spark, sf_dir):
+    """Titles that begin with another title, or begin one."""
+    part = table(spark, sf_dir, "part")
+    head = text(F.col("p_name"), " of the ", F.col("p_type"))
+    longer = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, text(head, " kind ", F.col("p_size"))).otherwise(head).alias("b"))
+    pairs = prefix_pairs(part.select(head.alias("text")), longer.select(F.col("b").alias("text")), 20)
+    return pairs.join(longer, "b").select("a", "p_partkey", "b")
+
+
 @query("SELECT p_partkey, 'LOOKUP FAILED' AS status FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 'OK' FROM part WHERE p_partkey % 3 = 0")
 def lookup_unavailable(spark, sf_dir):
     """The first source is down: that is reported, unless the second has an answer."""
