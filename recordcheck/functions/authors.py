@@ -9,10 +9,12 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from recordcheck.functions.arrow import arrow_function
+from recordcheck.functions.binding import bound
 from recordcheck.functions.latex import latex_to_unicode, unicode_to_latex
-from recordcheck.functions.text import EDIT_CHARS, fold_diacritics
+from recordcheck.functions.text import edit_similarity, fold_diacritics
 from recordcheck.schema import AUTHOR, AUTHORS
 
 # Words that belong to the surname after them in a display name.
@@ -117,83 +119,10 @@ def _given(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(w[0].lower() for w in words), tuple(w.lower() for w in words if len(w) > 1)
 
 
-@remembered
-def edit_ratio(a: str, b: str) -> float:
-    if not a or not b:
-        return float(not a and not b)
-    longest = max(len(a), len(b))
-    if longest > EDIT_CHARS:
-        a, b = a[:EDIT_CHARS], b[:EDIT_CHARS]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        above, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
-    return 1 - row[-1] / longest
-
-
-def _same_family(a: Author, b: Author) -> bool:
-    x, y = name_key(a.family), name_key(b.family)
-    ends = lambda n: name_key((re.split(r"\s+", latex_to_unicode(n)) or [""])[-1])
-    return x == y or ends(a.family) == ends(b.family) or (min(len(x), len(y)) > 3 and (x.endswith(y) or y.endswith(x)))
-
-
-def pair_similarity(a: Author, b: Author) -> float:
-    """Likeness of two names by fixed steps."""
-    if a.literal or b.literal:
-        whole = [name_key(n.literal if n.literal is not None else n.family + n.given) for n in (a, b)]
-        return float(edit_ratio(*whole) >= 0.9)
-    if not _same_family(a, b):
-        family = name_key(a.family), name_key(b.family)
-        given = name_key(a.given), name_key(b.given)
-        if family[0] and family == given[::-1]:
-            return 0.85  # family and given names swapped
-        return 0.6 if edit_ratio(*family) >= 0.85 else 0.0
-    (first, full), (other, other_full) = _given(a.given), _given(b.given)
-    if not first or not other:
-        return 0.9
-    if first[0] != other[0]:
-        return 0.25
-    if full and other_full and not (full[0].startswith(other_full[0]) or other_full[0].startswith(full[0])):
-        return 0.3
-    short = min(len(first), len(other))
-    return 1.0 if short == 1 or first[:short] == other[:short] else 0.8
-
-
-class Comparison(NamedTuple):
-    score: float = 0.0
-    first_match: bool = False
-    overlap: float = 0.0
-    count_a: int = 0
-    count_b: int = 0
-    fuller: bool = False
-    identical: bool = False
-
-
+AUTHOR_KEYS = "array<struct<whole:string,literal:boolean,family:string,ends:string,given:string,initials:array<string>,full:array<string>>>"
 COMPARISON = "struct<score:double,first_match:boolean,overlap:double,count_a:int,count_b:int,fuller:boolean,identical:boolean>"
 
 
-def compare_lists(a: list[Author], b: list[Author], truncated: bool = False) -> Comparison:
-    """Likeness of author lists by place and regardless of order; a truncated list is not held against its length."""
-    if not a or not b:
-        return Comparison(count_a=len(a), count_b=len(b))
-    least, most = sorted((len(a), len(b)))
-    table = [[pair_similarity(x, y) for y in b] for x in a]
-    placed = sum(table[k][k] for k in range(least)) / (least if truncated else most)
-    rows = table if len(a) <= len(b) else [list(c) for c in zip(*table)]
-    free, matched = set(range(most)), 0
-    for row in rows:  # each in turn takes the best that is left, the first of equals
-        best = max(sorted(free), key=lambda j: row[j], default=None)
-        if best is not None and row[best] >= 0.8:
-            free.discard(best)
-            matched += 1
-    overlap = matched / least
-    score = max(placed, 0.9 * overlap * (1 if truncated else least / most))
-    keys = lambda names: [(name_key(n.family), name_key(n.given)) for n in names]
-    fuller = score >= 0.9 and len(a) == len(b) and any(len(_given(y.given)[1]) > len(_given(x.given)[1]) for x, y in zip(a, b))
-    return Comparison(score, table[0][0] >= 0.8, overlap, len(a), len(b), fuller, not truncated and keys(a) == keys(b))
-
-
 def format_name(name: Author, style: str = "last-first", encode: Callable[[str], str] = str) -> str:
     if name.literal:
         return f"{{{encode(name.literal)}}}"
@@ -229,15 +158,86 @@ def _names(value) -> list[Author]:
     return [as_author(v) for v in value] if value is not None else []
 
 
-def compare_authors(a, b, truncated):
-    """Comparison of two author arrays; only the pairs that blocking left reach it."""
+def _keys_of(name: Author) -> dict:
+    initials, full = _given(name.given)
+    ends = name_key((re.split(r"\s+", latex_to_unicode(name.family)) or [""])[-1])
+    whole = name_key(name.literal if name.literal is not None else name.family + name.given)
+    return {"whole": whole, "literal": bool(name.literal), "family": name_key(name.family), "ends": ends, "given": name_key(name.given), "initials": list(initials), "full": list(full)}
+
+
+def author_keys(names: Column) -> Column:
+    """What comparing an author list takes of each name; a missing list is empty. Takes Python: compute it once a record."""
+    kind = _parse_datatype_string(AUTHOR_KEYS)
+
+    @F.pandas_udf(kind)
+    def run(names: pd.Series) -> pd.Series:
+        return pd.Series([[_keys_of(n) for n in _names(value)] for value in names], dtype=object)
+
+    return run(names)
 
-    @F.pandas_udf(COMPARISON)
-    def run(a: pd.Series, b: pd.Series, truncated: pd.Series) -> pd.DataFrame:
-        rows = [compare_lists(_names(x), _names(y), bool(t)) for x, y, t in zip(a, b, truncated)]
-        return pd.DataFrame(rows, columns=Comparison._fields)
 
-    return run(a, b, truncated)
+def name_likeness(a: Column, b: Column) -> Column:
+    """Likeness of two names, as their keys, by fixed steps."""
+    ratio = lambda c: edit_similarity(a[c], b[c])
+    shorter = F.least(F.char_length(a["family"]), F.char_length(b["family"]))
+    related = (a["family"] == b["family"]) | (a["ends"] == b["ends"]) | ((shorter > 3) & (F.endswith(a["family"], b["family"]) | F.endswith(b["family"], a["family"])))
+    swapped = (a["family"] != "") & (a["family"] == b["given"]) & (b["family"] == a["given"])
+    first = lambda n, c: F.get(n[c], F.lit(0))
+    begins = F.startswith(first(a, "full"), first(b, "full")) | F.startswith(first(b, "full"), first(a, "full"))
+    short = F.least(F.size(a["initials"]), F.size(b["initials"]))
+    of_given = (
+        F.when(short == 0, 0.9)
+        .when(first(a, "initials") != first(b, "initials"), 0.25)
+        .when(~begins, 0.3)
+        .when((short == 1) | (F.slice(a["initials"], F.lit(1), short) == F.slice(b["initials"], F.lit(1), short)), 1.0)
+        .otherwise(0.8)
+    )
+    apart = F.when(swapped, 0.85).when(ratio("family") >= 0.85, 0.6).otherwise(0.0)
+    whole = F.when(ratio("whole") >= 0.9, 1.0).otherwise(0.0)
+    return F.when(a["literal"] | b["literal"], whole).when(related, of_given).otherwise(apart)
+
+
+def compare_author_keys(a: Column, b: Column, truncated: Column) -> Column:
+    """Comparison of two author lists, as their keys, by place and regardless of order; a truncated list is not held against its length.
+
+    The names of the shorter list each take, in turn, the best that is left of the longer, the first of equals: an ordered fold.
+    """
+
+    def matched(likeness: Column, least: Column, most: Column, upright: Column) -> Column:
+        value = lambda k, j: F.when(upright, F.get(F.get(likeness, k), j)).otherwise(F.get(F.get(likeness, j), k))
+
+        def step(free: Column, k: Column) -> Column:
+            best = F.array_max(F.transform(free, lambda j: F.struct(value(k, j).alias("value"), (-j).alias("place"))))
+            return bound(lambda best: F.when(best["value"] >= 0.8, F.filter(free, lambda j: j != -best["place"])).otherwise(free), best)
+
+        places = F.sequence(F.lit(0), F.greatest(most, F.lit(1)) - 1)
+        return most - F.size(F.aggregate(F.sequence(F.lit(0), F.greatest(least, F.lit(1)) - 1), places, step))
+
+    def of(a: Column, b: Column, truncated: Column, likeness: Column, least: Column, most: Column) -> Column:
+        placed = F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0.0), lambda total, k: total + F.get(F.get(likeness, k), k))
+        placed = placed / F.when(truncated, least).otherwise(most)
+        overlap = matched(likeness, least, most, F.size(a) <= F.size(b)) / least
+        score = lambda overlap: F.greatest(placed, 0.9 * overlap * F.when(truncated, F.lit(1.0)).otherwise(least / most))
+        more = F.exists(F.arrays_zip(F.transform(a, lambda n: F.size(n["full"])).alias("a"), F.transform(b, lambda n: F.size(n["full"])).alias("b")), lambda z: z["b"] > z["a"])
+        names = lambda keys: F.transform(keys, lambda n: F.struct(n["family"], n["given"]))
+        done = lambda score, overlap, first: F.struct(
+            score.alias("score"), first.alias("first_match"), overlap.alias("overlap"), F.size(a).alias("count_a"), F.size(b).alias("count_b"),
+            ((score >= 0.9) & (F.size(a) == F.size(b)) & more).alias("fuller"), (~truncated & (names(a) == names(b))).alias("identical"),
+        )
+        return bound(lambda overlap: bound(done, score(overlap), overlap, F.get(F.get(likeness, F.lit(0)), F.lit(0)) >= 0.8), overlap)
+
+    def sized(a: Column, b: Column, truncated: Column) -> Column:
+        likeness = F.transform(a, lambda x: F.transform(b, lambda y: name_likeness(x, y)))
+        found = bound(of, a, b, truncated, likeness, F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b)))
+        none = F.struct(F.lit(0.0), F.lit(False), F.lit(0.0), F.size(a), F.size(b), F.lit(False), F.lit(False)).cast(COMPARISON)
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), none).otherwise(found.cast(COMPARISON))
+
+    return bound(sized, a, b, F.coalesce(truncated, F.lit(False)))
+
+
+def compare_authors(a: Column, b: Column, truncated: Column) -> Column:
+    """The same of two author arrays, whose keys are made on the way."""
+    return compare_author_keys(author_keys(a), author_keys(b), truncated)
 
 
 def formatted_authors(names, style: str = "last-first", from_unicode: bool = True):

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from plain_authors import compare_lists, edit_ratio, pair_similarity
 from pyspark.sql import functions as F
 
 from recordcheck.config import WEIGHTS, KeyScheme, Settings, sanitize_settings
-from recordcheck.functions.authors import Author, compare_lists, edit_ratio, format_name, pair_similarity, parse_list, parse_name, split_display_name
+from recordcheck.functions.authors import Author, compare_authors, format_name, parse_list, parse_name, split_display_name
 from recordcheck.functions.identifiers import doi_url, find_doi, normalize_pages, pages_equivalent, parse_arxiv_id, parse_doi, same_doi, year_from
 from recordcheck.functions.latex import decode_references, latex_to_unicode, unicode_to_latex
 from recordcheck.functions.text import correction_marker, edit_similarity, normalize_text, title_similarity, token_similarity
@@ -137,3 +138,24 @@ def test_settings():
     assert sanitize_settings(None) == Settings() == sanitize_settings({"mode": "x", "key_scheme": {"parts": ["bad"]}, "found_ttl_days": "3"})
     got = sanitize_settings({"mode": "verify", "key_scheme": {"parts": ["year", "author", "year"], "separator": ":"}, "found_ttl_days": 900, "contact_email": " a@b.org "})
     assert got.mode == "verify" and got.key_scheme == KeyScheme(("year", "author"), ":", True) and got.found_ttl_days == 365 and got.contact_email == "a@b.org"
+
+
+def test_author_lists_in_the_engine(spark):
+    """Column expressions give what comparing one pair at a time gives."""
+    r = random.Random(12)
+    family = ["Doe", "Roe", "van Dam", "Dam", "M{\\\"u}ller", "Muller", "Mueller", "Jo", "Lee", "", "de la Cruz", "Cruz", "Schmidt", "Schmitt", "Goldschmidt"]
+    given = ["Jo", "J.", "J. B.", "Joanna Beth", "John Bob", "", "Doe", "Al", "A.-B.", "Zed", "Lee"]
+    literal = [None, None, None, None, None, "", "The {Group}", "The Group", "Jo Doe"]
+    some = lambda: [Author(r.choice(family), r.choice(given), r.choice(literal)) for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4, 6]))]
+    pairs = []
+    for _ in range(1500):
+        a = some()
+        b = r.choice([some(), a, a[::-1], a[:1] + some(), a[:-1]])
+        pairs.append((a, b, r.random() < 0.3))
+    row = lambda names: [(n.family, n.given, n.literal) for n in names]
+    df = spark.createDataFrame([(k, row(a), row(b), t) for k, (a, b, t) in enumerate(pairs)], "k int, a array<struct<family:string,given:string,literal:string>>, b array<struct<family:string,given:string,literal:string>>, t boolean")
+    got = {x["k"]: tuple(x["c"]) for x in df.select("k", compare_authors(F.col("a"), F.col("b"), F.col("t")).alias("c")).collect()}
+    for k, (a, b, t) in enumerate(pairs):
+        assert got[k] == tuple(compare_lists(a, b, t)), (a, b, t)
+    none = df.limit(1).select(compare_authors(F.lit(None).cast(df.schema["a"].dataType), F.col("b"), F.lit(None).cast("boolean")).alias("c")).first()["c"]
+    assert none["score"] == 0 and none["count_a"] == 0
