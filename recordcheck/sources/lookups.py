@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordcheck.config import FAILURES, HIGH, POSSIBLE, SEARCH_ROWS
-from recordcheck.functions.text import EDIT_CHARS, FORGIVEN_CHARS, normalized, title_similarity, words
-from recordcheck.operators.prefixes import prefix_pairs
+from recordcheck.functions.text import normalized, title_similarity
+from recordcheck.operators.title_pairs import title_pairs
 from recordcheck.schema import WORK
 
 
@@ -99,53 +99,12 @@ class SnapshotSource:
         return rows.select("citation_id", F.coalesce(F.col("place") - 1, F.lit(0)).alias("pos"), status.alias("status"), "work")
 
 
-def rare_tokens(rows: DataFrame, id_col: str, dice: float) -> DataFrame:
-    """(id, norm_title) -> (id, token, at, tokens): of each title its rarest tokens, enough to meet any title of that Dice similarity,
-    with their places in that order and the count of all.
-
-    Two token sets of a Jaccard similarity of at least j share one of the first n - ceil(j n) + 1 tokens of either, in any
-    common order; by rarity, the words that many titles have are seldom keys. Repeats of a word are numbered, as Dice counts
-    them.
-    """
-    listed = words("norm_title")
-    numbered = F.transform(listed, lambda w, i: F.concat_ws("\n", w, F.nullif(F.size(F.filter(F.slice(listed, F.lit(1), i), lambda x: x == w)), F.lit(0)).cast("string")))
-    tokens = rows.select(id_col, F.explode(numbered).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    jaccard = dice / (2 - dice)
-    listed = tokens.join(counts, "token").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
-    keep = F.size("t") - F.ceil(F.size("t") * jaccard - 1e-9) + 1
-    return listed.select(id_col, F.posexplode(F.slice("t", F.lit(1), keep.cast("int"))["token"]).alias("at", "token"), F.size("t").alias("tokens"))
-
-
-def may_be_similar(least: float) -> Column:
-    """Of titles a and b that share a token, the first one they share: whether the blend of tokens and edits can reach `least`.
-
-    Both have the token at a place of one common order, so they share no more than it and what is behind it in the shorter rest;
-    an edit similarity is at most the ratio of the lengths, where no title is cut.
-    """
-    common = F.least(F.col("tokens_a") - F.col("at_a"), F.col("tokens_b") - F.col("at_b"))  # `at` counts from 0
-    dice = 2.0 * common / (F.col("tokens_a") + F.col("tokens_b"))
-    a, b = F.char_length("title_a"), F.char_length("title_b")
-    edit = F.when(F.greatest(a, b) > EDIT_CHARS, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
-    return 0.6 * dice + 0.4 * edit >= least - 1e-9
-
-
 def search_titles(wanted: DataFrame, works: DataFrame, limit: int, least: float = POSSIBLE) -> DataFrame:
     """(citation_id, norm_title), (work, norm_title) -> (citation_id, place, similarity, work): the `limit` most similar.
 
-    Candidates share a rare token and pass `may_be_similar`, or, as a title that begins another is forgiven the rest, one begins with
-    the other; each distinct pair is then compared. Titles repeat: equal ones are compared once.
+    Titles repeat: each distinct pair that `title_pairs` leaves is compared once.
     """
-    dice = max(0.0, (least - 0.4) / 0.6)
-    left = wanted.select("norm_title").filter("norm_title <> ''").distinct()
-    right = works.select("norm_title").filter("norm_title <> ''").distinct()
-    # One order of tokens for both sides.
-    sides = left.select(F.lit("a").alias("side"), "norm_title").unionByName(right.select(F.lit("b").alias("side"), "norm_title"))
-    keys = rare_tokens(sides.withColumn("key", F.struct("side", "norm_title")), "key", dice)
-    of = lambda side: keys.filter(F.col("key.side") == side).select("token", F.col("key.norm_title").alias(f"title_{side}"), F.col("at").alias(f"at_{side}"), F.col("tokens").alias(f"tokens_{side}"))
-    pairs = of("a").join(of("b"), "token").filter(may_be_similar(least)).select("title_a", "title_b")
-    begun = prefix_pairs(left.withColumnRenamed("norm_title", "text"), right.withColumnRenamed("norm_title", "text"), FORGIVEN_CHARS)
-    pairs = pairs.unionByName(begun.select(F.col("a").alias("title_a"), F.col("b").alias("title_b"))).distinct()
+    pairs = title_pairs(wanted.select("norm_title"), works.select("norm_title"), least)
     pairs = pairs.withColumn("similarity", title_similarity(F.col("title_a"), F.col("title_b"))).filter(F.col("similarity") >= least)
     hits = wanted.join(pairs, wanted["norm_title"] == pairs["title_a"]).select("citation_id", "title_b", "similarity")
     rows = hits.join(works.withColumnRenamed("norm_title", "title_b"), "title_b")
