@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordcheck.functions.authors import compare_authors, formatted_authors, parse_author, parse_authors
 from recordcheck.functions.identifiers import doi_key, doi_url, find_doi, normalize_pages, pages_equivalent, parse_arxiv_id, parse_doi, year_from
+from recordcheck.functions.sql import register_functions
 from recordcheck.functions.text import STOPWORDS, correction_marker, edit_similarity, line_of, normalized, query_words, title_similarity, token_similarity, words
 from recordcheck.functions.titles import base_key, detect_terms, suffixed_keys, wrapped
 from recordcheck.functions.urls import classify_url, plain_url_problem, url_problem
@@ -259,3 +260,22 @@ def title_queries(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def props_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_name AS a, p_name || ' study' AS b, p_type, p_size FROM part)
+    SELECT p_partkey, round(0.6 * 2 * len(string_split(a, ' ')) / (len(string_split(a, ' ')) + len(string_split(b, ' '))) + 0.4 * (1 - levenshtein(a, b)::DOUBLE / length(b)), 9) AS title,
+    CASE WHEN p_partkey % 3 < 2 THEN '10.5555/p' || p_partkey END AS doi, p_size || '--' || (p_size + 100) AS pages, p_partkey % 2 = 0 AS same_pages, CAST(1950 + p_size AS INTEGER) AS year,
+    CASE WHEN p_partkey % 2 = 0 THEN '2401.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') END AS arxiv, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END::DOUBLE AS venue FROM p"""
+)
+def sql_functions(spark, sf_dir):
+    """Titles, DOIs, pages, years, arXiv ids and venues in plain SQL, by the registered functions."""
+    register_functions(spark)
+    return spark.sql(
+        """SELECT p_partkey, round(title_similarity(normalize_text(concat('{{', upper(p_name), '}}')), normalize_text(concat(p_name, '-Study'))), 9) AS title,
+        parse_doi(CASE p_partkey % 3 WHEN 0 THEN concat('https://doi.org/10.5555%2Fp', p_partkey) WHEN 1 THEN concat('doi: {{10.5555/p', p_partkey, '}}.') ELSE concat('10.55/', p_partkey) END) AS doi,
+        normalize_pages(concat(p_size, ' – ', p_size + 100)) AS pages, pages_equivalent(concat(p_size + 1000, '-', p_size + 1000), concat(p_size + 1000, '--', right(p_size + 1000 + p_partkey % 2, 2))) AS same_pages,
+        year_from(concat(1950 + p_size, '-05-01')) AS year, parse_arxiv_id(CASE WHEN p_partkey % 2 = 0 THEN concat('arXiv:2401.', lpad(p_partkey % 100000, 5, '0')) ELSE 'none' END) AS arxiv,
+        venue_similarity(concat('Proceedings of the ', p_type), CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE 'zzz' END) AS venue FROM {part}""",
+        part=table(spark, sf_dir, "part"),
+    )
