@@ -18,6 +18,7 @@ from recordcheck.operators.score import scored, work_keys
 from recordcheck.schema import CHECK, WORK
 from recordcheck.sources import bibtex
 from recordcheck.sources.lookups import Source, is_strong, lookup_doi, related_works
+from recordcheck.sources.tiers import search_tiers, with_strength
 from recordcheck.storage import stored
 
 
@@ -84,34 +85,12 @@ def analyze(files: DataFrame, sources: Sources, settings: Settings = Settings(),
     asked = citations.filter("coalesce(work.title, '') <> ''").select("citation_id", normalized("work.title").alias("norm_title"), "cites_preprint", F.col("raw_doi").isNull().alias("no_doi"))
     state = stored(_judged(records, cited), "records")
 
-    def strength(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("citation_id").agg(
-            F.max("strong").alias("strong"), F.max(F.col("strong") & ~F.coalesce("work.is_preprint", F.lit(False))).alias("strong_published"), F.max(F.col("strong") & F.coalesce("work.is_preprint", F.lit(False))).alias("strong_preprint")
-        )
-
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    start = asked.join(strength(state), "citation_id", "left").withColumn("wants_published", F.col("cites_preprint") | yes("strong_preprint"))
-    plan = start.select("citation_id", "norm_title", "no_doi", "wants_published", (~yes("strong") | F.col("wants_published")).alias("discover"))
-    plan = stored(plan, "plan")
-    done: list[DataFrame] = []
-
-    def search(source: Source, tier: int, chosen: DataFrame) -> None:
-        nonlocal state
-        chosen = stored(chosen.select("citation_id", "norm_title"), "chosen")
-        hits = stored(source.search(chosen), "hits")
-        statuses.append(hits.select("citation_id", F.lit(source.name).alias("source"), "status").distinct())
-        got = hits.filter("status = 'OK'").select("citation_id", F.lit(tier).alias("tier"), F.col("pos").alias("nth"), "work")
-        state = stored(state.unionByName(_judged(got, cited)), "records")
-        done.append(chosen.select("citation_id", F.lit(source.name).alias("name")))
-
-    now = lambda: plan.join(strength(state), "citation_id", "left")
-    search(sources.crossref, 3, plan.filter("discover"))
-    search(sources.dblp, 4, now().filter("discover").filter(~yes("strong_published") | F.col("wants_published")))
-    search(sources.openalex, 5, now().filter("discover").filter(~yes("strong")))
-    if settings.mode == "clean":
-        before = done[1].select("citation_id")
-        search(sources.dblp, 6, plan.join(before, "citation_id", "left_anti"))
-    search(sources.datacite, 7, now().filter("no_doi").filter(~yes("strong")))
+    start = with_strength(asked, state).withColumn("wants_published", F.col("cites_preprint") | F.col("strong_preprint"))
+    plan = start.select("citation_id", "norm_title", "no_doi", "wants_published", (~F.col("strong") | F.col("wants_published")).alias("discover"), F.lit(settings.mode == "clean").alias("clean"))
+    by_name = {"Crossref": sources.crossref, "DBLP": sources.dblp, "OpenAlex": sources.openalex, "DataCite": sources.datacite}
+    tiered = search_tiers(stored(plan, "plan"), state, by_name, lambda got: _judged(got, cited))
+    state = tiered.records
+    statuses += tiered.statuses
 
     order = Window.partitionBy("citation_id").orderBy("tier", "nth")
     all_records = state.withColumn("pos", F.row_number().over(order) - 1).select("citation_id", "pos", "work")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordcheck.config import FAILURES
@@ -20,7 +20,8 @@ from recordcheck.sources.answers import AnswersLookup, write_answers
 from recordcheck.sources.bibtex import fields, items
 from recordcheck.sources.cache import lifetime, paced_starts, replay_cache
 from recordcheck.sources.lookups import SnapshotSource, json_status, lookup_doi, related_works, resolver_status, search_titles, unavailable, with_norm_title
-from recordcheck.storage import shared_folder
+from recordcheck.sources.tiers import search_tiers
+from recordcheck.storage import shared_folder, stored
 
 
 def work(**values: Column) -> Column:
@@ -428,3 +429,43 @@ def entry_candidates(spark, sf_dir):
     works = table(spark, sf_dir, "part").select("p_name").distinct().select(work(title=F.col("p_name")).alias("work"))
     hits = search_titles(wanted, with_norm_title(works), 3, 0.55)
     return hits.select(F.col("citation_id").alias("p_partkey"), F.col("work.title").alias("found"), F.round("similarity", 6).alias("similarity"), "place")
+
+
+class _ByTitle:
+    """A source that knows titles exactly."""
+
+    by_doi = False
+
+    def __init__(self, name: str, works: DataFrame):
+        self.name, self.works = name, works
+
+    def search(self, wanted: DataFrame) -> DataFrame:
+        found = wanted.join(self.works, "norm_title", "left")
+        status = F.when(F.col("work").isNull(), "NO RECORD FOUND").otherwise("OK")
+        return found.select("citation_id", F.lit(0).alias("pos"), status.alias("status"), "work")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 11 = 0 AS pre, p_partkey % 13 > 0 AS no_doi FROM part),
+    c AS (SELECT *, k % 4 = 0 AS s1 FROM p), d AS (SELECT *, NOT s1 OR pre AS asked2, (NOT s1 OR pre) AND k % 6 = 0 AS s2 FROM c),
+    o AS (SELECT *, NOT (s1 OR s2) AS asked3, NOT (s1 OR s2) AND k % 5 = 0 AS s3 FROM d),
+    b AS (SELECT *, NOT asked2 AS asked4, NOT asked2 AND k % 6 = 0 AS s4 FROM o), e AS (SELECT *, no_doi AND NOT (s1 OR s2 OR s3 OR s4) AS asked5 FROM b)
+    SELECT k AS p_partkey, u.s AS source, u.t AS status FROM e, LATERAL (SELECT * FROM (VALUES (true, 'Crossref', k % 2 = 0), (asked2 OR asked4, 'DBLP', k % 3 = 0), (asked3, 'OpenAlex', k % 5 = 0), (asked5, 'DataCite', k % 7 = 0)) AS v(a, s, f)) AS w,
+    LATERAL (SELECT w.s, CASE WHEN w.f THEN 'OK' ELSE 'NO RECORD FOUND' END AS t) AS u WHERE w.a"""
+)
+def lookup_tiered(spark, sf_dir):
+    """Which sources are asked for which citation, and what they say: later ones only for what is not settled by then."""
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    title = text(F.col("p_name"), " ", letters(key))
+    asked = part.select(key.alias("citation_id"), title.alias("norm_title"), (key % 11 == 0).alias("wants_published"), (key % 13 > 0).alias("no_doi"), F.lit(True).alias("clean"), F.lit(True).alias("discover"))
+    w = lambda n: work(title=title, publisher=F.when(key % n == 0, "strong"))
+    source = lambda name, knows, strong: _ByTitle(name, part.filter(key % knows == 0).select(title.alias("norm_title"), w(strong).alias("work")))
+    sources = {s.name: s for s in (source("Crossref", 2, 4), source("DBLP", 3, 6), source("OpenAlex", 5, 5), source("DataCite", 7, 7))}
+    judge = lambda got: got.withColumn("strong", F.coalesce(F.col("work.publisher") == "strong", F.lit(False)))
+    none = judge(part.limit(0).select(key.alias("citation_id"), F.lit(0).alias("tier"), F.lit(0).alias("nth"), w(1).alias("work")))
+    tiered = search_tiers(stored(asked, "asked"), stored(none, "none"), sources, judge)
+    log = tiered.statuses[0]
+    for more in tiered.statuses[1:]:
+        log = log.unionByName(more)
+    return log.select(F.col("citation_id").alias("p_partkey"), "source", "status")
