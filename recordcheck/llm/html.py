@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from recordcheck.llm.common import table
 
-#: Comments, declarations, elements whose content is no markup and never text to read (one that isn't closed ends with the
-#: page), and tags.
+#: Comments, declarations, elements whose content is no markup (one that isn't closed ends with the page), and tags. Of such
+#: elements only <xmp> holds text to read, as it stands.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?:xmp)\b[^>]*>(?P<raw>.*?)(?:</xmp\s*>|\Z)|<(?P<dead>script|style|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=dead)\s*>|\Z))"
+    r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -35,8 +35,9 @@ INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-REST_TAGS = frozenset("nav header footer aside form fieldset menu dialog".split())
+REST_TAGS = frozenset("nav header footer aside form fieldset menu dialog noscript".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Words of class, id and role names. A name's last word says what an element is, words of place and form left aside.
 REST_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs crumbs "
     "sidebar side widget widgets footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -44,22 +45,42 @@ REST_WORDS = frozenset(
     "pager copyright legal disclaimer search form hidden skip tags taglist outbrain taboola complementary contentinfo navigation".split()
 )
 MAIN_WORDS = frozenset("article main content post entry story text body articlebody maincontent".split())
-FEATURES = ("words", "words_before", "words_after", "links", "links_before", "links_after", "inner_mark", "under_rest", "under_main", "page_has_main", "heading", "paragraph", "item", "ends_sentence", "copyright", "capitalized")
+FORM_WORDS = frozenset(
+    "list lists bar bars box boxes wrap wrapper inner outer container area slot slots item items block blocks section sections button buttons link links panel left right "
+    "top bottom thread row col column grid group holder module unit region zone frame tab tabs primary secondary".split()
+)
+FEATURES = (
+    "words", "words_before", "words_after", "links", "links_before", "links_after", "mark", "under_rest", "under_weak_rest", "under_main", "page_has_main", "heading", "paragraph", "item", "ends_sentence",
+    "copyright", "capitalized", "around_share", "wider_share",
+)
+
+
+def name_mark(name: str) -> int:
+    """What one class, id or role name says: -2 and 2 if its last telling word is one of rest or main text, -1 and 1 if an earlier one is."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    while len(words) > 1 and words[-1] in FORM_WORDS:
+        words.pop()
+    for at, w in enumerate(reversed(words)):
+        if w in REST_WORDS or w in MAIN_WORDS:
+            return (1 if at else 2) * (1 if w in MAIN_WORDS else -1)
+    return 0
 
 
 def marks(tag: str, attributes: str) -> int:
-    """-1 for an element that holds something else than main text, 1 for one that holds main text, 0 for neither."""
+    """From -2 for an element that holds something else than main text to 2 for one that holds main text. Names that say the
+    opposite outweigh each other."""
     if tag in ("html", "body"):
         return 0
-    rest, main = tag in REST_TAGS, tag in MAIN_TAGS
+    said = 0
     for name, *values in NAMED.findall(attributes) if attributes else ():
-        name, value = name.lower(), "".join(values).lower()
+        name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
-            rest, main = rest or bool(words & REST_WORDS), main or bool(words & MAIN_WORDS)
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            rest = True
-    return -1 if rest and tag not in MAIN_TAGS else int(main)
+            said += sum(map(name_mark, set(value.split())))
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())):
+            return -2
+    if tag in MAIN_TAGS:
+        return 2
+    return -2 if tag in REST_TAGS else max(-2, min(2, said))
 
 
 class Around(NamedTuple):
@@ -68,12 +89,18 @@ class Around(NamedTuple):
     tag: str = ""
     inner: int = 0  # the mark of the innermost element that has one
     rest: bool = False
+    weak: bool = False
     main: bool = False
     item: bool = False
     skipped: bool = False
+    span: list[int] = [0, 0]  # words without links on the page at the element's begin and end
+    outer: list[int] = [0, 0]  # the same of the elements around it
+    wider: list[int] = [0, 0]
 
-    def inside(self, tag: str, mark: int) -> Around:
-        return Around(tag, mark or self.inner, self.rest or mark < 0, self.main or mark > 0, self.item or tag == "li", self.skipped or tag in SKIPPED)
+    def inside(self, tag: str, mark: int, words: int) -> Around:
+        return Around(
+            tag, mark or self.inner, self.rest or mark == -2, self.weak or mark == -1, self.main or mark > 0, self.item or tag == "li", self.skipped or tag in SKIPPED, [words, words], self.span, self.outer,
+        )
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, Around]]:
@@ -83,23 +110,28 @@ def blocks(page: str | None) -> list[tuple[str, int, int, Around]]:
     """
     page = page or ""
     out: list[tuple[str, int, int, Around]] = []
-    stack: list[Around] = [Around()]
+    stack: list[Around] = [Around(span=[0, 0], outer=[0, 0], wider=[0, 0])]
+    plain = 0
     open_: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     linked, at = False, 0
 
     def flush() -> None:
+        nonlocal plain
         if pieces:
             text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
             if text:
                 inside = sum(len(html.unescape(p).split()) for p, link in pieces if link)
                 words = text.count(" ") + 1
                 out.append((text, words, min(inside, words), stack[-1]))
+                plain += words - min(inside, words)
             pieces.clear()
 
     def close(tag: str) -> None:
         while open_[tag] and len(stack) > 1:
-            last = stack.pop().tag
+            gone = stack.pop()
+            gone.span[1] = plain
+            last = gone.tag
             open_[last] -= 1
             if last == tag:
                 break
@@ -108,42 +140,50 @@ def blocks(page: str | None) -> list[tuple[str, int, int, Around]]:
         if m.start() > at and not stack[-1].skipped:
             pieces.append((page[at : m.start()], linked))
         at = m.end()
-        tag = m[3]
+        tag, ends = m["tag"], m["end"]
+        if m["raw"] is not None and not stack[-1].skipped:
+            flush()
+            stack.append(stack[-1].inside("pre", 0, plain))
+            pieces.append((html.escape(m["raw"]), linked))
+            flush()
+            stack.pop().span[1] = plain
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2] and tag in SKIPPED:
+        if ends and tag in SKIPPED:
             close(tag)
         elif tag in SKIPPED:
-            if not m[4].endswith("/"):
-                stack.append(stack[-1].inside(tag, 0))
+            if not m["more"].endswith("/"):
+                stack.append(stack[-1].inside(tag, 0, plain))
                 open_[tag] += 1
         elif tag == "a":
-            linked = not m[2]
+            linked = not ends
         elif tag == "br":
             pieces.append((" ", linked))
         elif tag in VOID:
             if tag == "hr":
                 flush()
-        elif m[2]:
+        elif ends:
             if tag not in INLINE or open_[tag]:  # an inline element that was marked stands as a block
                 flush()
                 close(tag)
         else:
-            mark = marks(tag, m[4])
-            if tag == "header" and stack[-1].main and mark < 0:
+            mark = marks(tag, m["more"])
+            if tag in ("header", "noscript") and stack[-1].main and mark < 0:
                 mark = 0  # of the article, not of the page
             if tag not in INLINE or mark < 0:
                 flush()
                 while stack[-1].tag and stack[-1].tag in CLOSES.get(tag, {"p"}):
                     close(stack[-1].tag)
                 linked = False
-                if not m[4].endswith("/"):
-                    stack.append(stack[-1].inside(tag, mark))
+                if not m["more"].endswith("/"):
+                    stack.append(stack[-1].inside(tag, mark, plain))
                     open_[tag] += 1
     if at < len(page) and not stack[-1].skipped:
         pieces.append((page[at:], linked))
     flush()
+    for left in stack:
+        left.span[1] = plain
     return out
 
 
@@ -153,12 +193,14 @@ def block_features(found: list[tuple[str, int, int, Around]]) -> np.ndarray:
     links = np.array([b[2] for b in found], float) / np.maximum(words, 1)
     shift = lambda v, k: np.r_[np.zeros(1), v[:-1]] if k < 0 else np.r_[v[1:], np.zeros(1)]
     around = [b[3] for b in found]
-    main = np.array([a.main for a in around], float)
+    of = lambda value: np.array([float(value(a)) for a in around])
+    main = of(lambda a: a.main)
+    whole = max(1.0, float(sum(b[1] - b[2] for b in found)))
     columns = [
-        words, shift(words, -1), shift(words, 1), links, shift(links, -1), shift(links, 1), np.array([a.inner for a in around], float), np.array([a.rest for a in around], float), main,
-        np.full(len(found), float(main.any())), np.array([a.tag in HEADINGS for a in around], float), np.array([a.tag in ("p", "blockquote", "pre") for a in around], float),
-        np.array([a.item for a in around], float), np.array([b[0][-1] in ".!?:\"'»”)" for b in found], float),
+        words, shift(words, -1), shift(words, 1), links, shift(links, -1), shift(links, 1), of(lambda a: a.inner), of(lambda a: a.rest), of(lambda a: a.weak), main,
+        np.full(len(found), float(main.any())), of(lambda a: a.tag in HEADINGS), of(lambda a: a.tag in ("p", "blockquote", "pre")), of(lambda a: a.item), np.array([b[0][-1] in ".!?:\"'»”)" for b in found], float),
         np.array([b[0][0] in "©®" or "copyright" in b[0][:40].lower() or "all rights reserved" in b[0].lower() for b in found], float), np.array([b[0][:1].isupper() for b in found], float),
+        of(lambda a: (a.outer[1] - a.outer[0]) / whole), of(lambda a: (a.wider[1] - a.wider[0]) / whole),
     ]
     return np.stack(columns, axis=1)
 
@@ -208,7 +250,7 @@ class Tree:
         return out
 
 
-def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """The small labelled table: pages of invented words in common layouts, with a label for each block (true: main text)."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ba", "ko", "ri", "ten", "mu", "las", "el", "do")) for _ in range(r.randint(1, 4)))
@@ -231,11 +273,16 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[bool
                 make()
 
         named = r.random() < 0.6  # whether main text stands in an element that says so
+        style = r.random()  # how paragraphs are marked up: as such, as plain elements, or as one text with line breaks
         top = r.choice(("header", 'div class="header"', 'div id="masthead"', 'div class="site-header"'))
         maybe(0.5, lambda: rest(f"<{top}><div>{say(1, 4, '')}</div><p>{say(2, 9, r.choice(('', '.')))}</p></{top.split()[0]}>", 2))
         menu = r.choice(("nav", 'div class="menu"', 'ul class="navigation"', 'div id="nav"', "div", "div", "section"))
         k = r.randint(3, 9)
-        maybe(0.9, lambda: rest(f"<{menu}><ul>" + "".join(f"<li>{x}</li>" for x in links(k)) + f"</ul></{menu.split()[0]}>", k))
+        between = r.choice((None, None, " ", " | ", "<br>"))  # links in a list, or in a line
+        if between is None:
+            maybe(0.9, lambda: rest(f"<{menu}><ul>" + "".join(f"<li>{x}</li>" for x in links(k)) + f"</ul></{menu.split()[0]}>", k))
+        else:
+            maybe(0.9, lambda: rest(f"<{r.choice(('div', 'p', 'td', menu))}>" + between.join(links(k)) + "</div></p></td></nav></ul></section>", 1))
         notice = r.choice(('div class="cookie-notice"', 'div id="consent"', 'div class="notice"', 'div role="alert"', 'div class="popup"'))
         maybe(0.4, lambda: rest(f"<{notice}><p>{say(6, 40)}</p></{notice.split()[0]}>", 1))
         ad = r.choice(('div class="ad"', 'div class="advert"', 'div id="sponsored"', 'aside class="promo"', 'div class="ad-banner"'))
@@ -249,7 +296,9 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[bool
             if kind < 0.68:
                 low, high = r.choice(((1, 3), (3, 12), (12, 45), (45, 160)))
                 inner = say(low, high) + (f' <a href="/y">{say(1, 4, "")}</a> {say(3, 20)}' if r.random() < 0.2 else "")
-                body += f"<p>{inner}</p>"
+                if named and r.random() < 0.06:  # what a footer says, said by an article
+                    inner = r.choice(("All rights reserved.", "&copy; " + say(1, 5), f"Copyright {say(2, 9)}"))
+                body += f"<p>{inner}</p>" if style < 0.7 else f"<div>{inner}</div>"
                 labels.append(True)
             elif kind < 0.76:
                 body += f"<h3>{say(1, 7, '')}</h3>"
@@ -268,7 +317,10 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[bool
             else:
                 body += f"<pre>{say(4, 30, '')}</pre>"
                 labels.append(True)
-        holder = r.choice(("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="entry"')) if named else r.choice(("div", "section", 'div class="x1"'))
+        if style > 0.84:  # sentences and line breaks in one element, without any other mark-up
+            body, labels = "<br><br>".join(say(4, 40) for _ in range(r.randint(3, 12))), [True]
+        odd = f"{r.choice(sorted(REST_WORDS))}-{word()}{r.choice(('', '-' + word(), '-story'))}"  # a topic that sounds like something else
+        holder = r.choice(("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="entry"', f'div class="content" id="{odd}"', f'article id="{odd}"')) if named else r.choice(("div", "section", 'div class="x1"', f'div id="{odd}"', f'div class="{odd}"'))
         parts.append((f"<{holder}>{body}</{holder.split()[0]}>", labels))
         side = r.choice(("aside", 'div class="sidebar"', 'div id="side"', 'div class="widget"', "div"))
         n = r.randint(1, 6)
@@ -278,6 +330,9 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[bool
         note = r.choice(('section class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div id="disqus"'))
         c = r.randint(1, 5)
         maybe(0.5, lambda: rest(f"<{note}>" + "".join(f'<div class="c"><p>{say(2, 60)}</p></div>' for _ in range(c)) + f"</{note.split()[0]}>", c))
+        weak = f"{r.choice(('share', 'social', 'related', 'newsletter', 'search', 'promo'))}-{word()}"
+        few = r.randint(1, 4)
+        maybe(0.3, lambda: rest(f'<div class="{weak}">' + "".join(f"<p>{say(1, 12, r.choice(('', '.')))}</p>" for _ in range(few)) + "</div>", few))
         foot = r.choice(("footer", 'div class="footer"', 'div id="copyright"', "div"))
         maybe(0.9, lambda: rest(f"<{foot}>&copy; {say(1, 30, r.choice(('', '.')))}</{foot.split()[0]}>", 1))
         pages.append(("<html><body>" + "".join(p for p, _ in parts) + "</body></html>", [x for _, ls in parts for x in ls]))
