@@ -46,6 +46,9 @@ def prefix_pairs(left: DataFrame, right: DataFrame, least: int = 1, part_texts:
     texts = texts.groupBy("text").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     texts = stored(texts, "prefix-texts")
     parts = max(1, texts.count() // part_texts)
+    if parts == 1:  # one sorted part has no others before it
+        alone = texts.withColumn("part", F.lit(0))
+        return alone.groupBy("part").cogroup(stored(alone.limit(0), "prefix-above").groupBy("part")).applyInArrow(_walk, "a string, b string")
     dealt = stored(texts.repartitionByRange(parts, "text").withColumn("part", F.spark_partition_id()), "prefix-parts")
     first = dealt.groupBy("part").agg(F.min("text").alias("first"))
     heads = first.filter(F.char_length("first") > least).select("part", F.explode(F.transform(F.sequence(F.lit(least), F.char_length("first") - 1), lambda n: F.substring("first", F.lit(1), n))).alias("text"))
