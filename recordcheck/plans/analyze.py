@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordcheck.config import Settings
-from recordcheck.functions.identifiers import bare_arxiv_id, doi_key
+from recordcheck.functions.identifiers import doi_key
 from recordcheck.functions.text import normalized
 from recordcheck.operators.candidates import build_candidates, select_candidate
 from recordcheck.operators.checks import doi_checks
@@ -17,7 +17,7 @@ from recordcheck.operators.evaluate import evaluate
 from recordcheck.operators.score import scored, work_keys
 from recordcheck.schema import CHECK, WORK
 from recordcheck.sources import bibtex
-from recordcheck.sources.lookups import Source, is_strong, lookup_doi, related_works
+from recordcheck.sources.lookups import Source, is_strong, lookup_arxiv, lookup_doi, related_works, resolve_dois
 from recordcheck.sources.tiers import search_tiers, with_strength
 from recordcheck.storage import stored
 
@@ -66,11 +66,10 @@ def analyze(files: DataFrame, sources: Sources, settings: Settings = Settings(),
     # ---- identifiers ----
     by_doi = citations.filter("coalesce(raw_doi, '') <> ''").select("citation_id", "raw_doi", doi_key("raw_doi").alias("doi_key"))
     wanted = by_doi.filter("doi_key IS NOT NULL").select("citation_id", "doi_key")
-    resolved = wanted.join(sources.resolver.select("doi_key", F.col("status").alias("resolved"), "target"), "doi_key", "left").select("citation_id", F.coalesce("resolved", F.lit("NO RECORD FOUND")).alias("resolved"), "target")
+    resolved = resolve_dois(wanted, sources.resolver)
     answers = stored(lookup_doi(wanted, sources.crossref, sources.datacite), "answers")
-    papers = citations.filter("work.arxiv_id IS NOT NULL").select("citation_id", bare_arxiv_id("work.arxiv_id").alias("arxiv_id"))
-    arxiv = papers.join(sources.arxiv, "arxiv_id", "left").select("citation_id", F.coalesce("status", F.lit("NO RECORD FOUND")).alias("status"), "work")
-    arxiv = stored(arxiv, "arxiv")
+    papers = citations.filter("work.arxiv_id IS NOT NULL").select("citation_id", "work.arxiv_id")
+    arxiv = stored(lookup_arxiv(papers, sources.arxiv), "arxiv")
     hops = related_works(arxiv.filter("status = 'OK'").select("citation_id", "work"), sources.crossref)
     found = lambda df, tier, place=0: df.filter("status = 'OK' AND work IS NOT NULL").select("citation_id", F.lit(tier).alias("tier"), F.lit(place).alias("nth"), "work")
     records = found(answers, 0).unionByName(found(arxiv, 1)).unionByName(hops.select("citation_id", F.lit(2).alias("tier"), "nth", "work"))

@@ -19,7 +19,7 @@ from recordcheck.sources import payloads
 from recordcheck.sources.answers import AnswersLookup, write_answers
 from recordcheck.sources.bibtex import fields, items
 from recordcheck.sources.cache import lifetime, paced_starts, replay_cache
-from recordcheck.sources.lookups import SnapshotSource, json_status, lookup_doi, related_works, resolver_status, search_titles, unavailable, with_norm_title
+from recordcheck.sources.lookups import SnapshotSource, json_status, lookup_arxiv, lookup_doi, related_works, resolve_dois, resolver_status, search_titles, unavailable, with_norm_title
 from recordcheck.sources.tiers import search_tiers
 from recordcheck.storage import shared_folder, stored
 
@@ -194,6 +194,22 @@ def lookup_unavailable(spark, sf_dir):
     return found.select(F.col("citation_id").alias("p_partkey"), "status")
 
 
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'NO RECORD FOUND' WHEN 2 THEN 'RATE LIMITED' ELSE 'NO RECORD FOUND' END AS resolved, CASE WHEN p_partkey % 4 = 0 THEN 'https://x.org/' || p_partkey END AS target,
+    CASE p_partkey % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'NETWORK UNAVAILABLE' ELSE 'NO RECORD FOUND' END AS status, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' arXiv' END AS title FROM part"""
+)
+def lookup_identifiers(spark, sf_dir):
+    """What the DOI resolver says, and arXiv records by numbers of any version; what could not be asked is no answer."""
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    doi, number = text("10.5555/", key), text("2401.", F.lpad(key.cast("string"), 5, "0"))
+    resolver = part.filter(key % 4 < 3).select(doi.alias("doi_key"), F.when(key % 4 == 0, "OK").when(key % 4 == 1, "NO RECORD FOUND").otherwise("RATE LIMITED").alias("status"), F.when(key % 4 == 0, text("https://x.org/", key)).alias("target"))
+    answers = part.filter(key % 3 < 2).select(number.alias("arxiv_id"), F.when(key % 3 == 0, "OK").otherwise("NETWORK UNAVAILABLE").alias("status"), work(title=text(F.col("p_name"), " arXiv")).alias("work"))
+    papers = part.select(key.alias("citation_id"), text(number, F.when(key % 2 == 0, "v2").otherwise("")).alias("arxiv_id"))
+    found = resolve_dois(_wanted(spark, sf_dir), resolver).join(lookup_arxiv(papers, answers), "citation_id")
+    return found.select(F.col("citation_id").alias("p_partkey"), "resolved", "target", "status", "work.title")
+
+
 @query("SELECT a.p_partkey, b.p_name || ' Crossref' AS title FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE b.p_partkey % 2 = 0")
 def related_doi_hop(spark, sf_dir):
     one = _answers(spark, sf_dir, "Crossref", F.col("p_partkey") % 2 == 0)

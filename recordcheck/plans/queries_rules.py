@@ -15,7 +15,8 @@ from recordcheck.schema import CHECK
 from recordcheck.sources.bibtex import entries, fields, items, list_entries, list_summary, shown_choices
 
 
-def _evaluated(spark, sf_dir: str):
+def _evaluated(spark, sf_dir: str, equal: bool = False):
+    """equal: the records have the entries' values, written in other ways."""
     part = table(spark, sf_dir, "part")
     key, name = F.col("p_partkey"), F.col("p_name")
     v = key % 8
@@ -36,7 +37,8 @@ def _evaluated(spark, sf_dir: str):
     listed = lambda x: F.array(F.lit(x))
     record = work(
         title=text("A Study of ", name), authors=F.array(person(F.lit("Doe"), "Jo")), year=year, venue=F.when(v != 1, "Journal of Parts"), type=F.when(v == 1, "book").otherwise("article"), doi=text("10.5555/", key),
-        volume=F.when(v == 2, "4"), issue=F.when(v == 2, "2"), publisher=F.when(v == 1, "Omega House"), isbn=F.when(v == 1, listed("9780000000002")), issn=F.when(v == 2, listed("1234-5678")), sources=from_source("Crossref"),
+        volume=F.when(v == 2, "{3}" if equal else "4"), issue=F.when(v == 2, " 1 " if equal else "2"), publisher=F.when(v == 1, "The ALPHA-Press" if equal else "Omega House"),
+        isbn=F.when(v == 1, F.array(F.lit("978"), F.lit("1111")) if equal else listed("9780000000002")), issn=F.when(v == 2, listed("00000000") if equal else listed("1234-5678")), sources=from_source("Crossref"),
     )
     score = F.struct(
         F.lit(0.97).alias("total"), F.lit(True).alias("identifier_match"), F.array().cast("array<string>").alias("contradictions"), F.lit("VERY HIGH").alias("confidence"), F.lit("VERIFIED").alias("state")
@@ -213,3 +215,12 @@ def candidate_override(spark, sf_dir):
     own = part.filter(key % 4 < 2).select(key.alias("citation_id"), F.when(key % 4 == 0, 1).cast("int").alias("chosen"))
     counts = part.select(key.alias("citation_id"), nothing_checked(F.when(key % 5 < 2, 2).otherwise(0), F.when(key % 3 > 0, 1).otherwise(0), F.when(key % 7 > 0, 0).otherwise(1)).alias("nothing"))
     return override_selection(chosen, own).join(counts, "citation_id").select(F.col("citation_id").alias("p_partkey"), "selected", "nothing")
+
+
+@query(
+    """SELECT p_partkey, u.f AS field, 'VERIFIED' AS status FROM part, LATERAL (SELECT * FROM (VALUES (1, 'publisher'), (1, 'isbn'), (2, 'volume'), (2, 'number'), (2, 'issn')) AS v(n, f)) AS u WHERE u.n = p_partkey % 8"""
+)
+def rule_equal_fields(spark, sf_dir):
+    """Volumes, issues, publishers, ISBNs and ISSNs that are written in other ways are equal."""
+    rows = comparison_rows(_evaluated(spark, sf_dir, True)).filter(F.col("field").isin("publisher", "isbn", "volume", "number", "issn"))
+    return rows.select(_part(), "field", "status")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from recordcheck.functions.authors import compare_authors, formatted_authors, parse_author, parse_authors
 from recordcheck.functions.identifiers import doi_key, doi_url, find_doi, normalize_pages, pages_equivalent, parse_arxiv_id, parse_doi, year_from
 from recordcheck.functions.sql import register_functions
-from recordcheck.functions.text import STOPWORDS, correction_marker, edit_similarity, line_of, normalized, query_words, title_similarity, token_similarity, words
+from recordcheck.functions.text import STOPWORDS, correction_marker, datacite_words, dblp_words, edit_similarity, line_of, normalized, query_words, title_similarity, token_similarity, words
 from recordcheck.functions.titles import base_key, detect_terms, suffixed_keys, wrapped
 from recordcheck.functions.urls import classify_url, plain_url_problem, url_problem
 from recordcheck.functions.venue import is_preprint_venue, venue_abbreviation, venue_acronyms, venue_field, venue_initialisms, venue_keys, venue_similarity
 from recordcheck.operators.checks import page_metadata, url_check
 from recordcheck.plans.registry import LETTERS, letters, query, table, text
+from recordcheck.sources.settings import last_settings
 
 _FOLD = "trim(regexp_replace(regexp_replace(replace(lower(strip_accents(regexp_replace({}, '[${{}}]', '', 'g'))), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -279,3 +280,30 @@ def sql_functions(spark, sf_dir):
         venue_similarity(concat('Proceedings of the ', p_type), CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE 'zzz' END) AS venue FROM {part}""",
         part=table(spark, sf_dir, "part"),
     )
+
+
+@query(
+    """WITH l AS (SELECT user_id, arg_max(event_id, (epoch_us(ts), event_id)) AS e, arg_max(event_type, (epoch_us(ts), event_id)) AS t FROM events GROUP BY user_id)
+    SELECT user_id, CASE WHEN t = 'error' THEN 'verify' ELSE 'clean' END AS mode, CASE WHEN e % 7 = 0 THEN 30 ELSE least(365, greatest(0, e % 1000 - 100)) END::DOUBLE AS days,
+    CASE e % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE ':' END AS separator, CASE WHEN e % 2 = 0 THEN 'a@b.org' ELSE '' END AS email, CASE WHEN e % 5 = 0 THEN 'year,author' ELSE 'author,year,keyword,venue' END AS parts FROM l"""
+)
+def settings_loaded(spark, sf_dir):
+    """Events as saved settings: a user's last ones count, numbers are clamped, what is not valid falls back to its default."""
+    e = F.col("event_id")
+    days = F.when(e % 7 == 0, F.lit(None)).otherwise(e % 1000 - 100)
+    parts = F.when(e % 5 == 0, F.array(F.lit("year"), F.lit("author"), F.lit("year"))).otherwise(F.array(F.lit("year"), F.lit("colour")))
+    scheme = F.struct(F.when(e % 3 == 0, "-").when(e % 3 == 1, "**").otherwise(":").alias("separator"), parts.alias("parts"))
+    raw = F.to_json(F.struct(F.when(F.col("event_type") == "error", "verify").otherwise("other").alias("mode"), days.alias("found_ttl_days"), scheme.alias("key_scheme"), F.when(e % 2 == 0, " a@b.org ").otherwise("nobody").alias("contact_email")))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.struct("ts", "event_id").alias("saved_at"), raw.alias("raw"))
+    s = last_settings(log).select("user", "settings.*")
+    return s.select(F.col("user").alias("user_id"), "mode", F.col("found_ttl_days").alias("days"), "key_scheme.separator", F.col("contact_email").alias("email"), F.array_join("key_scheme.parts", ",").alias("parts"))
+
+
+@query(
+    """SELECT p_partkey, 'study ' || p_name || ' no' || p_partkey || ' Cafe one two three four five' AS dblp, 'A study ' || p_name || ' no' || p_partkey || ' b Cafe one two three four five six' AS datacite FROM part"""
+)
+def search_words(spark, sf_dir):
+    """The words that services are asked with: ten whole words for one, no signs of a search syntax for another."""
+    title = text("{A} study: ", F.col("p_name"), " no", F.col("p_partkey"), " (b) Caf\\'e")
+    asked = query_words(text(title, " one-two three four five six"), F.lit(20))
+    return table(spark, sf_dir, "part").select("p_partkey", dblp_words(asked).alias("dblp"), datacite_words(asked).alias("datacite"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordcheck.config import FAILURES, HIGH, POSSIBLE, SEARCH_ROWS
+from recordcheck.functions.identifiers import bare_arxiv_id
 from recordcheck.functions.text import normalized, title_similarity
 from recordcheck.operators.title_pairs import title_pairs
 from recordcheck.schema import WORK
@@ -130,6 +131,19 @@ def lookup_doi(wanted: DataFrame, first: Source, second: Source) -> DataFrame:
     return both.select("citation_id", status.alias("status"), F.when(F.col("s1") == "OK", F.col("w1")).otherwise(F.col("w2")).alias("work"), source.alias("source"), "s1", "s2")
 
 
+def resolve_dois(wanted: DataFrame, resolver: DataFrame) -> DataFrame:
+    """(citation_id, doi_key), (doi_key, status, target) -> (citation_id, resolved, target): what the resolver says of each DOI."""
+    found = wanted.join(resolver.select("doi_key", F.col("status").alias("resolved"), "target"), "doi_key", "left")
+    return found.select("citation_id", F.coalesce("resolved", F.lit("NO RECORD FOUND")).alias("resolved"), "target")
+
+
+def lookup_arxiv(papers: DataFrame, answers: DataFrame) -> DataFrame:
+    """(citation_id, arxiv_id in any version), (arxiv_id, status, work) -> (citation_id, status, work), by the number without version."""
+    found = papers.select("citation_id", bare_arxiv_id("arxiv_id").alias("arxiv_id")).join(answers.select("arxiv_id", "status", "work"), "arxiv_id", "left")
+    status = F.coalesce("status", F.lit("NO RECORD FOUND"))
+    return found.select("citation_id", status.alias("status"), F.when(status == "OK", F.col("work")).alias("work"))
+
+
 def related_works(records: DataFrame, source: Source) -> DataFrame:
     """Works of the published DOIs that records (citation_id, work) name."""
     hops = records.select("citation_id", F.posexplode("work.related_dois").alias("nth", "doi")).select("citation_id", "nth", F.lower("doi").alias("doi_key"))

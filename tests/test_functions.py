@@ -159,3 +159,17 @@ def test_author_lists_in_the_engine(spark):
         assert got[k] == tuple(compare_lists(a, b, t)), (a, b, t)
     none = df.limit(1).select(compare_authors(F.lit(None).cast(df.schema["a"].dataType), F.col("b"), F.lit(None).cast("boolean")).alias("c")).first()["c"]
     assert none["score"] == 0 and none["count_a"] == 0
+
+
+def test_settings_are_saved_and_loaded(spark):
+    import tempfile
+
+    from recordcheck.sources.settings import load_settings, save_settings, sanitized
+
+    log = tempfile.mkdtemp(prefix="settings-") + "/log"
+    save_settings(spark, log, "u", Settings(mode="verify", found_ttl_days=999))
+    save_settings(spark, log, "u", Settings(contact_email=" x@y.org ", found_ttl_days=5, key_scheme=KeyScheme(("year", "author"), "-", False)))
+    assert load_settings(spark, log, "u") == Settings(contact_email="x@y.org", found_ttl_days=5, key_scheme=KeyScheme(("year", "author"), "-", False))
+    assert load_settings(spark, log, "nobody") == Settings()
+    rows = spark.createDataFrame([(None,), ("{",), ("[1]",), ('{"found_ttl_days": 1e999, "mode": 7}',)], "raw string").select(sanitized("raw").alias("s")).collect()
+    assert all(r["s"]["mode"] == "clean" and r["s"]["found_ttl_days"] == 30 and r["s"]["key_scheme"]["parts"] == ["author", "year", "keyword", "venue"] for r in rows)
