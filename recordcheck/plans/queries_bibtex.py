@@ -146,9 +146,9 @@ def _part_files(spark, sf_dir: str) -> str:
     '@book{p' || p_partkey || ',\n  title = {' || p_name || '},\n  publisher = b,\n  year = ' || (1950 + p_size) || ',\n  series = {' || p_type || '} # " line"\n}' AS source FROM part"""
 )
 def bibtex_files(spark, sf_dir):
-    """Files are written, cut into ranges of 2,000 bytes that tasks of their own read, and entries cut from whole files by their positions."""
+    """Files are written, cut into ranges of 5,000 bytes that tasks of their own read, and entries cut from whole files by their positions."""
     folder = _part_files(spark, sf_dir)
-    rows = entries(items_with_definitions(read_bibtex(spark, folder, 2000, wholeBytes=0)))
+    rows = entries(items_with_definitions(read_bibtex(spark, folder, 5000, wholeBytes=0)))
     of = lambda name: F.get(F.filter("fields", lambda f: f["name"] == name), F.lit(0))["text"]
     file = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
     whole = read_files(spark, folder).select(file("file_id").alias("file"), F.col("text").alias("whole"))
