@@ -20,6 +20,7 @@ from recordcheck.sources.answers import AnswersLookup, write_answers
 from recordcheck.sources.bibtex import fields, items
 from recordcheck.sources.cache import lifetime, paced_starts, replay_cache
 from recordcheck.sources.lookups import SnapshotSource, json_status, lookup_arxiv, lookup_doi, related_works, resolve_dois, resolver_status, search_titles, unavailable, with_norm_title
+from recordcheck.sources.retries import ask_again, recorded
 from recordcheck.sources.tiers import search_tiers
 from recordcheck.storage import shared_folder, stored
 
@@ -235,6 +236,32 @@ def response_statuses(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", json_status(http.cast("int"), body).alias("status"), resolver_status(code).alias("resolved"))
 
 
+@query(
+    """WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Crossref' WHEN 1 THEN 'DBLP' ELSE 'OpenAlex' END AS s, event_id // 3 AS k, least(5000, greatest(1000, event_id % 9 * 1000)) AS w FROM events),
+    c AS (SELECT *, k % 7 AS a1, k // 7 % 7 AS a2, k // 49 % 7 AS b1, k // 343 % 7 AS b2 FROM e),
+    f AS (SELECT *, CASE WHEN a1 = 0 THEN a2 ELSE a1 END AS a, CASE WHEN b1 = 0 THEN b2 ELSE b1 END AS b FROM c),
+    g AS (SELECT *, (s = 'Crossref' AND a = 1) OR (s = 'DBLP' AND a = 2) AS again FROM f),
+    h AS (SELECT *, CASE WHEN again THEN b ELSE a END AS x FROM g)
+    SELECT event_id, CASE WHEN x = 0 THEN 'RATE LIMITED' WHEN x IN (1, 2, 4) THEN 'LOOKUP FAILED' WHEN x = 3 THEN 'NO RECORD FOUND' ELSE 'OK' END AS status,
+      CAST(1 + (a1 = 0)::INTEGER + CASE WHEN again THEN 1 + (b1 = 0)::INTEGER ELSE 0 END AS INTEGER) AS asked,
+      CAST(CASE WHEN a1 = 0 THEN w ELSE 0 END + CASE WHEN again THEN CASE WHEN s = 'DBLP' THEN 800 ELSE 0 END + CASE WHEN b1 = 0 THEN w ELSE 0 END ELSE 0 END AS BIGINT) AS waited_ms,
+      CASE WHEN x > 4 THEN length(props) END AS body_chars FROM h JOIN events USING (event_id)"""
+)
+def request_retries(spark, sf_dir):
+    """Searches of three sources, each event with an answer for every try: refusals, rejected searches, pages in place of JSON."""
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    source = F.element_at(F.array(*map(F.lit, ("Crossref", "DBLP", "OpenAlex"))), (F.col("event_id") % 3 + 1).cast("int"))
+    requests = events.select(F.col("event_id").alias("request_id"), source.alias("source"), F.lit("search").alias("operation"))
+    tries = F.array(*[F.struct(F.lit(r).alias("round"), F.lit(t).alias("try"), F.lit(step).alias("step")) for r, t, step in ((1, 1, 3), (1, 2, 21), (2, 1, 147), (2, 2, 1029))])
+    every = events.select("event_id", "props", F.explode(tries).alias("x")).select("event_id", "props", "x.*")
+    code = F.floor(F.col("event_id") / F.col("step")) % 7
+    http = F.when(code == 0, 429).when(code == 1, 400).when(code == 3, 404).when(code == 4, F.lit(None)).otherwise(200)
+    body = F.when(code == 2, F.lit("<html>busy</html>")).when(code > 4, F.col("props"))
+    answers = every.select(F.col("event_id").alias("request_id"), "round", "try", http.alias("http"), body.alias("body"), (F.col("event_id") % 9).cast("string").alias("retry_after"), F.lit(False).alias("offline"))
+    rows = ask_again(requests, recorded(answers))
+    return rows.select(F.col("request_id").alias("event_id"), "status", "asked", "waited_ms", F.length("body").cast("bigint").alias("body_chars"))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 3600.0 ELSE 86400.0 END AS ttl FROM events),
     f AS (SELECT user_id, n, event_id, false AS from_cache, CASE WHEN ttl IS NULL THEN -1e18 ELSE epoch_us(ts) / 1e6 + ttl END AS until FROM e WHERE n = 1
