@@ -17,15 +17,15 @@ def citation_id(file_id: Column, pos: Column) -> Column:
     return F.concat_ws(":", file_id.cast("string"), pos.cast("string"))
 
 
-def build_citations(entries: DataFrame, fields: DataFrame) -> DataFrame:
+def build_citations(entries: DataFrame, fields: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """entries (file_id, pos, type, key, text, fields), fields (file_id, pos, type, key, field_pos, name, text, ...) -> a row
-    for each entry.
+    for each entry. `parents`: fields of the entries to inherit from, see `inherited_fields`.
 
     Columns: citation_id, file_id, pos, type, key, text, fields (as parsed), own (lower-cased names), f (name -> text, with what
     parents provide), inherited (names), raw_doi, authors_truncated, cites_preprint, work.
     """
     own = first_fields(fields).select("file_id", "pos", "name", "text", F.lit(False).alias("got"))
-    got = inherited_fields(fields).select("file_id", "pos", "name", "text", F.lit(True).alias("got"))
+    got = inherited_fields(fields, parents).select("file_id", "pos", "name", "text", F.lit(True).alias("got"))
     maps = own.unionByName(got).groupBy("file_id", "pos").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("f"),
         F.sort_array(F.collect_list(F.when(F.col("got"), F.col("name")))).alias("inherited"),

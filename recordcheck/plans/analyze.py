@@ -17,6 +17,7 @@ from recordcheck.operators.evaluate import evaluate
 from recordcheck.operators.score import scored, work_keys
 from recordcheck.schema import CHECK, WORK
 from recordcheck.sources import bibtex
+from recordcheck.sources.context import Context, items_in_context, parents_in_context
 from recordcheck.sources.lookups import Source, is_strong, lookup_arxiv, lookup_doi, related_works, resolve_dois
 from recordcheck.sources.tiers import search_tiers, with_strength
 from recordcheck.storage import stored
@@ -52,14 +53,18 @@ def _judged(records: DataFrame, cited: DataFrame) -> DataFrame:
     return rows.withColumn("strong", is_strong(F.col("score.total"), F.col("score.contradictions"))).drop("a", "k", "cut", "score")
 
 
-def analyze(files: DataFrame, sources: Sources, settings: Settings = Settings(), url_checks: DataFrame | None = None) -> Analysis:
-    """files (file_id, text) -> Analysis.
+def analyze(files: DataFrame, sources: Sources, settings: Settings = Settings(), url_checks: DataFrame | None = None, context: Context | None = None) -> Analysis:
+    """files (file_id, text) -> Analysis. With a context, entries take macros and parents' fields from the list they were chosen from.
 
     Searches are tiered: a source is asked for those citations only that still need it. Each tier's answers are written to the
     shared folder, as later tiers look at them: plans stay short, and nothing is searched twice.
     """
     parsed = stored(bibtex.items(files), "items")
-    citations = stored(build_citations(bibtex.entries(parsed), bibtex.fields(parsed)), "citations")
+    if context is None:
+        citations = stored(build_citations(bibtex.entries(parsed), bibtex.fields(parsed)), "citations")
+    else:
+        parsed = stored(items_in_context(parsed, context), "items-in-context")
+        citations = stored(build_citations(bibtex.entries(parsed), bibtex.fields(parsed), parents_in_context(parsed, context)), "citations")
     cited = stored(work_keys(citations.select("citation_id", F.col("work").alias("cited"), F.col("authors_truncated").alias("cut")), "cited", "a"), "cited")
     none_work = F.lit(None).cast(WORK)
 

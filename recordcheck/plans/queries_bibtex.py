@@ -14,8 +14,9 @@ from recordcheck.plans.registry import query, table, text
 from recordcheck.sources import bibtex
 from recordcheck.sources.bibtex import entries, fields, filter_choices, inherited_fields, items, list_entries, read_files, safe_filename
 from recordcheck.sources.bibfiles import read_bibtex, write_bibtex
+from recordcheck.sources.context import Context, items_in_context, parents_in_context
 from recordcheck.sources.macros import items_with_definitions, with_definitions
-from recordcheck.storage import shared_folder
+from recordcheck.storage import shared_folder, stored
 
 
 def part_entry() -> Column:
@@ -133,6 +134,29 @@ def entry_filter(spark, sf_dir):
     return chosen.select("key", "title")
 
 
+@query(
+    """SELECT p_partkey, u.n AS name, u.t AS text, u.i AS inherited FROM part,
+    LATERAL (SELECT * FROM (VALUES ('title', p_name, false), ('year', (1950 + p_size)::VARCHAR, false), ('crossref', 'ALL', false), ('booktitle', 'Days ' || p_partkey // 100, true),
+      ('publisher', CASE WHEN p_partkey % 3 = 0 THEN 'own ' || p_brand ELSE 'House ' || p_partkey // 100 END || ' Ltd', true), ('volume', '7', true)) AS v(n, t, i)) AS u"""
+)
+def entry_context(spark, sf_dir):
+    """Entries chosen from lists of a hundred parts, read apart: macros and parents come from the list, own definitions go first."""
+    rows = table(spark, sf_dir, "part").withColumn("list", F.floor(F.col("p_partkey") / 100))
+    entry = text("@inproceedings{p", F.col("p_partkey"), ", title = {", F.col("p_name"), "}, year = ", F.col("p_size") + 1950, ", crossref = ref}")
+    texts = rows.groupBy("list").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "\n").alias("entries"))
+    head = text("@string{ref = {ALL}}\n@string{house = {House ", F.col("list"), '} # ltd}\n@string{ltd = " Ltd"}\n@proceedings{all, title = {Days ', F.col("list"), "}, publisher = house, year = 1999, volume = 7}\n")
+    library = stored(items(texts.select("list", F.concat(head, "entries").alias("text")), "list"), "library")
+    choices = list_entries(library).filter("type = 'inproceedings'").select(F.substring("key", 2, 20).cast("bigint").alias("p_partkey"), F.col("file_id").alias("library"), "text")
+    own = F.when(F.col("p_partkey") % 3 == 0, text("@string{house = {own ", F.col("p_brand"), "} # ltd}\n")).otherwise("")
+    chosen = stored(choices.join(rows.select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_partkey").alias("file_id"), "library", F.concat(own, "text").alias("text")), "chosen")
+    context = Context(library, chosen.select("file_id", "library"))
+    read = stored(items_in_context(items(chosen), context), "read")
+    rows = fields(read)
+    got = inherited_fields(rows, parents_in_context(read, context)).withColumn("inherited", F.lit(True))
+    both = rows.select("file_id", "name", "text", F.lit(False).alias("inherited")).unionByName(got.drop("pos"))
+    return both.withColumnRenamed("file_id", "p_partkey")
+
+
 def _part_files(spark, sf_dir: str) -> str:
     """A folder with a file for each brand, to which parts' entries were written."""
     folder = f"{shared_folder(spark)}/part-files-{uuid.uuid4().hex}"

@@ -329,20 +329,27 @@ def first_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumn("name", F.lower("name")).groupBy("file_id", "pos", "name").agg(F.min_by("text", "field_pos").alias("text"))
 
 
-def inherited_fields(rows: DataFrame) -> DataFrame:
+def references(own: DataFrame) -> DataFrame:
+    """(file_id, pos, via, nth, ref): the keys that entries' crossref and xdata fields name, in lower case and in order."""
+    order = F.when(F.col("name") == "crossref", 0).otherwise(1)
+    named = own.filter("name IN ('crossref', 'xdata') AND text <> ''").select("file_id", "pos", order.alias("via"), F.posexplode(F.split("text", ",")).alias("nth", "ref"))
+    return named.select("file_id", "pos", "via", "nth", F.lower(F.trim("ref")).alias("ref")).filter("ref <> ''")
+
+
+def inherited_fields(rows: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """(file_id, pos, name, text) that entries get from those their crossref and xdata fields name.
 
     Keys are compared without case, the first entry of a key counts, a parent's title becomes a booktitle where the types
-    differ, and fields an entry has itself, or got from an earlier parent, are left alone.
+    differ, and fields an entry has itself, or got from an earlier parent, are left alone. `parents` are fields of the entries
+    that may be named, by default `rows` themselves.
     """
+    given = rows if parents is None else parents
     own = first_fields(rows)
-    order = F.when(F.col("name") == "crossref", 0).otherwise(1)
-    named = own.filter("name IN ('crossref', 'xdata') AND text <> ''").select("file_id", "pos", order.alias("via"), F.posexplode(F.split("text", ",")).alias("nth", "ref"))
-    named = named.select("file_id", "pos", "via", "nth", F.lower(F.trim("ref")).alias("ref")).filter("ref <> ''")
-    heads = rows.select("file_id", "pos", "type", F.lower("key").alias("ref")).distinct()
-    parents = heads.groupBy("file_id", "ref").agg(F.min_by(F.struct("pos", "type"), "pos").alias("parent"))
-    found = named.join(parents, ["file_id", "ref"]).join(heads.select("file_id", "pos", F.col("type").alias("own_type")), ["file_id", "pos"])
-    theirs = rows.select("file_id", F.col("pos").alias("parent_pos"), "field_pos", F.lower("name").alias("name"), "text")
+    heads = given.select("file_id", "pos", "type", F.lower("key").alias("ref")).distinct()
+    first = heads.groupBy("file_id", "ref").agg(F.min_by(F.struct("pos", "type"), "pos").alias("parent"))
+    types = rows.select("file_id", "pos", F.col("type").alias("own_type")).distinct()
+    found = references(own).join(first, ["file_id", "ref"]).join(types, ["file_id", "pos"])
+    theirs = given.select("file_id", F.col("pos").alias("parent_pos"), "field_pos", F.lower("name").alias("name"), "text")
     got = found.select("file_id", "pos", "via", "nth", "own_type", "parent.type", F.col("parent.pos").alias("parent_pos")).join(theirs, ["file_id", "parent_pos"])
     name = F.when((F.col("name") == "title") & (F.col("own_type") != F.col("type")), F.lit("booktitle")).otherwise(F.col("name"))
     got = got.withColumn("name", name).join(own.select("file_id", "pos", "name"), ["file_id", "pos", "name"], "left_anti")
