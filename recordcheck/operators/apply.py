@@ -209,13 +209,12 @@ def tidied(text: str | None) -> str | None:
 tidy_layout = arrow_function(tidied, "string")
 
 
-def apply_suggestions(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """entries (citation_id, text), suggestions (citation_id, ordinal, id, field, kind, value, term, to, accepted) ->
-    (citation_id, text, result, applied, skipped).
+#: What a suggestion says of a change, in the order in which a citation's are sorted.
+CHANGE = ("ordinal", "id", "field", "kind", "value", "term", "to")
 
-    Suggestions of one citation are a few dozen; they are gathered into one row with it, in order.
-    """
-    taken = suggestions.filter("accepted = true").groupBy("citation_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "id", "field", "kind", "value", "term", "to"))).alias("taken"))
+
+def patched(text: str | Column, taken: str | Column) -> Column:
+    """A text under an array of changes, null for none: struct (result, applied, skipped)."""
 
     @F.pandas_udf("struct<result:string,applied:array<string>,skipped:array<struct<id:string,reason:string>>>")
     def run(text: pd.Series, taken: pd.Series) -> pd.DataFrame:
@@ -225,7 +224,18 @@ def apply_suggestions(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
             out.append({"result": result, "applied": applied, "skipped": [{"id": i, "reason": r} for i, r in skipped]})
         return pd.DataFrame(out, columns=["result", "applied", "skipped"])
 
-    return entries.join(taken, "citation_id", "left").withColumn("x", run("text", "taken")).select("citation_id", "text", "x.*")
+    return run(text, taken)
+
+
+def apply_suggestions(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """entries (citation_id, text), suggestions (citation_id, ordinal, id, field, kind, value, term, to, accepted) ->
+    (citation_id, text, result, applied, skipped).
+
+    Suggestions of one citation are a few dozen; they are gathered into one row with it, in order.
+    """
+    taken = suggestions.filter("accepted = true").groupBy("citation_id").agg(F.sort_array(F.collect_list(F.struct(*CHANGE))).alias("taken"))
+
+    return entries.join(taken, "citation_id", "left").withColumn("x", patched("text", "taken")).select("citation_id", "text", "x.*")
 
 
 def diff_lines(a: str | None, b: str | None) -> list[dict[str, str]]:

@@ -11,11 +11,19 @@ from recordcheck.operators.evaluate import comparison_rows, evaluate, suggestion
 from recordcheck.operators.metrics import calibration, judge, report, wrong_with_high_confidence
 from recordcheck.operators.review import accept_all, by_section, carry_decisions, counts, decide, line_marks, set_version_changes
 from recordcheck.operators.score import scored, work_keys
+from recordcheck.operators.trials import trials, violations
 from recordcheck.plans.queries_bibtex import part_entry
 from recordcheck.plans.queries_match import from_source, person, work
 from recordcheck.plans.registry import query, table, text
 from recordcheck.schema import CHECK
 from recordcheck.sources.bibtex import entries, fields, items
+from recordcheck.storage import stored
+
+
+def _off_entry():
+    """An entry of a part, every second one with a wrong year."""
+    key = F.col("p_partkey")
+    return text("@article{k", key, ",\n  title = {", F.col("p_name"), " in Python},\n  author = {Jo Doe},\n  journal = {Journal of ", F.col("p_type"), "},\n  year = {", F.col("p_size") + 1950 + key % 2, "},\n  pages = {1-9}\n}")
 
 
 def _evaluated(spark, sf_dir: str, mode: str = "clean"):
@@ -23,8 +31,7 @@ def _evaluated(spark, sf_dir: str, mode: str = "clean"):
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     year = F.col("p_size") + 1950
-    entry = text("@article{k", key, ",\n  title = {", F.col("p_name"), " in Python},\n  author = {Jo Doe},\n  journal = {Journal of ", F.col("p_type"), "},\n  year = {", year + key % 2, "},\n  pages = {1-9}\n}")
-    parsed = items(part.select("p_partkey", entry.alias("text")), "p_partkey")
+    parsed = items(part.select("p_partkey", _off_entry().alias("text")), "p_partkey")
     cited = build_citations(entries(parsed), fields(parsed))
     record = work(
         title=text(F.col("p_name"), " in Python"), authors=F.array(person(F.lit("Doe"), "Jo")), year=year, venue=text("Journal of ", F.col("p_type")), pages=F.lit("1--9"), doi=text("10.5555/", key),
@@ -188,6 +195,44 @@ def line_diff_counts(spark, sf_dir):
     return rows.select("o_orderkey", n("same"), n("del"), n("add"))
 
 
+def _tried(spark, sf_dir: str):
+    """Trials of all suggestions made for parts."""
+    found = stored(_evaluated(spark, sf_dir), "tried")
+    texts = table(spark, sf_dir, "part").select(text(F.col("p_partkey"), ":0").alias("citation_id"), _off_entry().alias("text"))
+    return trials(texts, stored(suggestion_rows(found), "tried-suggestions"))
+
+
+@query(
+    f"""WITH s AS ({_SUGGESTED}), w AS (SELECT *, CASE WHEN field = 'ENTRY' THEN NULL ELSE field END AS c FROM s),
+    e AS (SELECT p_partkey, list_sort(list(c) FILTER (WHERE c IS NOT NULL)) AS every FROM w GROUP BY p_partkey)
+    SELECT p_partkey, 'alone' AS trial, field, coalesce(c, '') AS changed FROM w
+    UNION ALL SELECT p_partkey, 'without', field, array_to_string(list_filter(every, lambda x: x <> field), ',') FROM w JOIN e USING (p_partkey)
+    UNION ALL SELECT p_partkey, 'bulk', NULL, array_to_string(list_filter(every, lambda x: x <> 'KEY'), ',') FROM e
+    UNION ALL SELECT p_partkey, 'none', NULL, '' FROM e"""
+)
+def approval_trials(spark, sf_dir):
+    """What changes with each suggestion by itself, with all others, with bulk acceptance, and with all taken back."""
+    rows = _tried(spark, sf_dir)
+    return rows.select(F.split("citation_id", ":")[0].cast("bigint").alias("p_partkey"), "trial", "field", F.array_join("changed", ",").alias("changed"))
+
+
+@query(
+    """SELECT p_partkey, u.t AS trial, u.i AS id, u.r AS rule FROM part, LATERAL (SELECT * FROM (VALUES ('alone', 's0', 'an accepted suggestion changes nothing'), ('alone', 's2', 'more than its own field changes'),
+      ('bulk', NULL, 'bulk acceptance changes the key')) AS v(t, i, r)) AS u WHERE (u.i IS NULL OR u.i <> 's0' OR p_partkey % 2 = 0)"""
+)
+def approval_violations(spark, sf_dir):
+    """Suggestions that set a year to what it was, put a second field into a value, and change the key under another name."""
+    part = table(spark, sf_dir, "part")
+    year = F.when(F.col("p_partkey") % 2 == 0, text("{", F.col("p_size") + 1950, "}")).otherwise("{1900}")
+    entry = text("@book{p", F.col("p_partkey"), ",\n  title = {", F.col("p_name"), "},\n  year = ", year, "\n}\n")
+    made = _changes(
+        part, ("year", "set", (F.col("p_size") + 1950).cast("string"), None, None), ("note", "set", F.col("p_type"), None, None),
+        ("series", "set", "x}, volume = {7", None, None), ("title", "rename", None, None, "subtitle"), ("KEY", "set", "k", None, None),
+    )
+    made = made.withColumns({"category": F.lit("missing"), "grp": F.lit(None).cast("string")})
+    return violations(trials(part.select(F.col("p_partkey").alias("citation_id"), entry.alias("text")), made)).withColumnRenamed("citation_id", "p_partkey")
+
+
 # ---- metrics ----
 def _judged(spark, sf_dir: str):
     """Labels as judged suggestions: toxic as wrong, quality as sure."""
