@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from recordcheck.operators.evaluate import check_rows, suggestion_rows
 from recordcheck.plans.analyze import Sources, analyze
+from recordcheck.sources.bibtex import items
+from recordcheck.sources.context import Context
 from recordcheck.sources.lookups import SnapshotSource, with_norm_title
 from recordcheck.sources.payloads import map_arxiv, map_crossref
 
@@ -18,12 +20,15 @@ ENTRIES = {
     "notice": "@article{e, title={Robust Parsing of Broken Files}, author={Eve Ray}, journal={Journal of Files}, year=2021}",
     "no_doi": "@article{f, title={Perfectly Ordinary Result}, author={Fay Sun}, journal={Journal of Results}, year=2019}",
     "broken": "@article{g, title={never closed",
+    "listed": "@inproceedings{h, title={Walking Through Long Lists}, author=hay, crossref={P}}",
 }
+#: The list that the last entry was chosen from.
+LIST = "@string{hay = {Hal Hay}}\n@proceedings{p, title={Days of Lists}, year=2018, publisher=pub}\n@string{pub = {List Press}}\n@misc{h, title={another}}"
 
 
 def record(doi, title, authors, year, venue, **more):
     people = [{"family": a.split()[-1], "given": " ".join(a.split()[:-1])} for a in authors]
-    return {"DOI": doi, "title": [title], "author": people, "issued": {"date-parts": [[year]]}, "container-title": [venue], "type": "journal-article", **more}
+    return {"DOI": doi, "title": [title], "author": people, "issued": {"date-parts": [[year]]}, "container-title": [venue], "type": "journal-article"} | more
 
 
 CROSSREF = [
@@ -33,6 +38,7 @@ CROSSREF = [
     record("10.5555/nature1", "On the Nature of Things", ["Ida Kay"], 2001, "Journal of Things"),
     record("10.5555/nature2", "On the Nature of Things", ["Jon Low"], 2015, "Things Review"),
     record("10.5555/erratum", "Erratum: Robust Parsing of Broken Files", ["Eve Ray"], 2021, "Journal of Files"),
+    record("10.5555/lists", "Walking Through Long Lists", ["Hal Hay"], 2018, "Days of Lists", type="proceedings-article", publisher="List Press"),
     {k: v for k, v in record("", "Perfectly Ordinary Result", ["Fay Sun"], 2019, "Journal of Results").items() if k != "DOI"},
 ]
 ATOM = "<feed><entry><id>http://arxiv.org/abs/2301.00001v1</id><title>Sparse Attention Without Tears</title><published>2023-01-01</published><author><name>Dee Moss</name></author><arxiv:doi>10.5555/sparse</arxiv:doi></entry></feed>"
@@ -47,7 +53,8 @@ def run(spark):
     arxiv = spark.createDataFrame([("2301.00001", "OK", ATOM)], "arxiv_id string, status string, p string").select("arxiv_id", "status", map_arxiv("p").alias("work"))
     resolver = spark.createDataFrame([("10.5555/bees", "OK", "http://bees")], "doi_key string, status string, target string")
     sources = Sources(source("Crossref", works, answers), source("DataCite", none, no_answers), source("DBLP", none, no_answers), source("OpenAlex", none, no_answers), arxiv, resolver)
-    got = analyze(spark.createDataFrame(list(ENTRIES.items()), "file_id string, text string"), sources)
+    context = Context(items(spark.createDataFrame([("list", LIST)], "file_id string, text string")), spark.createDataFrame([("listed", "list")], "file_id string, library string"))
+    got = analyze(spark.createDataFrame(list(ENTRIES.items()), "file_id string, text string"), sources, context=context)
     name = lambda r: r["citation_id"].split(":")[0]
     checks, suggestions = {}, {}
     for r in check_rows(got.evaluated).collect():
@@ -57,7 +64,8 @@ def run(spark):
     candidates = {}
     for r in got.candidates.select("citation_id", "place", "work.doi", "work.title", "score.state", "version_group").collect():
         candidates.setdefault(name(r), {})[r["place"]] = r
-    return {name(r): r for r in got.selection.collect()}, checks, suggestions, candidates
+    cited = {name(r): r for r in got.citations.filter("file_id = 'listed'").select("citation_id", "work.venue", "work.year", "work.publisher", "work.authors", "inherited").collect()}
+    return {name(r): r for r in got.selection.collect()}, checks, suggestions, candidates | {"cited": cited}
 
 
 def sure(rows):
@@ -106,6 +114,16 @@ def test_no_doi_is_invented(run):
     assert not [r for r in suggestions["no_doi"] if r["field"] in ("doi", "url")]
 
 
+def test_an_entry_has_the_context_of_its_list(run):
+    selection, _, suggestions, candidates = run
+    cited = candidates["cited"]["listed"]
+    assert (cited["venue"], cited["year"], cited["publisher"], cited["authors"][0]["family"]) == ("Days of Lists", 2018, "List Press", "Hay")
+    assert cited["inherited"] == ["booktitle", "publisher", "year"]
+    assert candidates["listed"][selection["listed"]["selected"]]["doi"] == "10.5555/lists"
+    made = {r["field"]: r["category"] for r in suggestions["listed"]}
+    assert made["doi"] == "missing" and not {"year", "booktitle", "publisher", "author"} & made.keys()
+
+
 def test_nothing_is_accepted_by_itself(run):
     _, _, suggestions, _ = run
     assert all(r["accepted"] is None for rows in suggestions.values() for r in rows)
