@@ -5,7 +5,9 @@ Only DataFrame functions are used: a row stays where it is, and nothing is shuff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordcheck.llm.common import table
@@ -31,6 +33,10 @@ SENTENCES = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl3-later": "either version 3 of the license or at your option any later version",
     "gpl2-later": "either version 2 of the license or at your option any later version",
+    "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "lgpl21-later": "either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "lgpl3-notice": "this work is licensed under the gnu lesser general public license version 3",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -63,6 +69,12 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-later", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-later")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-later", "lgpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "gpl3-later", "lgpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "gpl3-later")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl3-later", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl3-later")),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-notice-2",)),
     ("ISC", ("isc-grant",)),
@@ -89,13 +101,48 @@ RULES = (
 )
 
 #: Sentences that real notices run together, and the rules for them, which come after those above.
-JOINED = {f"gpl{v}-free-later": f"{SENTENCES['gpl-free']} {SENTENCES[f'gpl{v}-later']}" for v in (2, 3)}
-JOINED_RULES = tuple((f"GPL-{v}.0-or-later", (f"gpl{v}-free-later", *hope)) for v in (3, 2) for hope in (("gpl-hope",), ()))
+_LATER = (("gpl", "3", "gpl", "GPL-3.0"), ("gpl", "2", "gpl", "GPL-2.0"), ("lgpl", "21", "lgpl", "LGPL-2.1"), ("lgpl", "3", "lgpl", "LGPL-3.0"), ("agpl", "3", "gpl", "AGPL-3.0"))
+JOINED = {f"{kind}{v}-free-later": f"{SENTENCES[f'{kind}-free']} {SENTENCES['lgpl21-later' if v == '21' else f'gpl{v}-later']}" for kind, v, _, _ in _LATER}
+JOINED_RULES = tuple((f"{name}-or-later", (f"{kind}{v}-free-later", *hope)) for kind, v, by, name in _LATER for hope in ((f"{by}-hope",), ()))
+
+# Licences as notices call them: name, version ("" for none) and SPDX identifier.
+NAMED = (
+    ("mit license", "", "MIT"), ("isc license", "", "ISC"), ("zlib license", "", "Zlib"), ("postgresql license", "", "PostgreSQL"), ("microsoft public license", "", "MS-PL"),
+    ("bsd 2 clause license", "", "BSD-2-Clause"), ("simplified bsd license", "", "BSD-2-Clause"), ("bsd 3 clause license", "", "BSD-3-Clause"), ("new bsd license", "", "BSD-3-Clause"),
+    ("apache license", "2 0", "Apache-2.0"), ("mozilla public license", "2 0", "MPL-2.0"), ("eclipse public license", "1 0", "EPL-1.0"), ("eclipse public license", "2 0", "EPL-2.0"),
+    ("gnu general public license", "2", "GPL-2.0-only"), ("gnu general public license", "3", "GPL-3.0-only"), ("gnu lesser general public license", "2 1", "LGPL-2.1-only"),
+    ("gnu lesser general public license", "3", "LGPL-3.0-only"), ("gnu affero general public license", "3", "AGPL-3.0-only"), ("boost software license", "1 0", "BSL-1.0"),
+    ("artistic license", "2 0", "Artistic-2.0"), ("academic free license", "3 0", "AFL-3.0"), ("sil open font license", "1 1", "OFL-1.1"), ("european union public licence", "1 2", "EUPL-1.2"),
+    ("common development and distribution license", "1 0", "CDDL-1.0"), ("blue oak model license", "1 0 0", "BlueOak-1.0.0"), ("university of illinois ncsa open source license", "", "NCSA"),
+)
+# Further SPDX identifiers that may stand in an identifier line.
+SPDX = (
+    "0BSD", "BSD-1-Clause", "BSD-2-Clause-Patent", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later",
+    "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-1.1", "MIT-0", "ODbL-1.0", "PSF-2.0", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11",
+)
+
+
+def _normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+#: Names in their spellings, and identifier lines; either is the sentence `name-<identifier>`. A name stands by itself or after LEAD.
+TITLES = {spelled: name for base, v, name in NAMED for spelled in ([base] if not v else [f"{base} {form}{v}" for form in ("", "v", "v ", "version ")])}
+LINES = {f"spdx license identifier {_normal(name)}": name for name in (*SPDX, *dict.fromkeys(n for _, _, n in NAMED))}
+LINES = {line: name for line, name in LINES.items() if line not in SENTENCES.values()}
+LEAD = "(?:this (?:project|software|work|code|program|file|library|package|repository) is )?(?:licensed|released|distributed|published|available) under (?:the terms of )?(?:the |a |an )?"
+NAME_RULES = tuple((name, (f"name-{name.lower()}",)) for name in dict.fromkeys((*TITLES.values(), *LINES.values())))
 
 #: A line feed ends a sentence, and a stop does where white space or the end follows it.
 BREAK = r"\n|[.!?;:]+(?:[ \t\r\n]|$)"
 
 
+def _looked_up(sentence: Column, known: list[tuple[str, str]]) -> Column:
+    """The identifier of a sentence, null for others."""
+    places, names = (F.array(*map(F.lit, column)) for column in zip(*known))
+    return F.get(names, (F.array_position(places, sentence) - 1).cast("int"))
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of docs with license_sentences (identifiers in text order), licenses (one for each matched rule, in the order of
     the rules, without repeats) and licensed, which replace columns of these names.
@@ -103,18 +150,17 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts, and texts without a known sentence, get empty lists and false. An empty table gives an empty one.
     """
     new = ("license_sentences", "licenses", "licensed")
-    table_of = {**SENTENCES, **JOINED}
-    ids, known = list(table_of), list(table_of.values())
-    places = F.array(*map(F.lit, known))
-    names = F.array(*map(F.lit, ids))
+    table_of = [(sentence, id_) for id_, sentence in (*SENTENCES.items(), *JOINED.items())]
+    named = [(spelled, f"name-{name.lower()}") for spelled, name in (*TITLES.items(), *LINES.items())]
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     plain = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     # "|" stands at each break: a known sentence starts and ends at one, and may be wrapped or stopped at others within.
     marked = F.concat(F.lit("|"), F.array_join(F.filter(plain, lambda s: s != ""), "|"), F.lit("|"))
-    any_known = "(?<=\\|)(?:" + "|".join(k.replace(" ", "[ |]") for k in sorted(known, key=len, reverse=True)) + ")(?=\\|)"
-    hits = F.transform(F.regexp_extract_all(marked, F.lit(any_known), F.lit(0)), lambda s: F.translate(s, "|", " "))
-    found = F.transform(hits, lambda s: F.get(names, (F.array_position(places, s) - 1).cast("int")))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f";{';;'.join(run)};").alias("run")) for name, run in (*RULES, *JOINED_RULES)])
+    longest = lambda found: "|".join(sorted(found, key=len, reverse=True))
+    wrapped = f"{longest(k for k, _ in table_of)}|(?:{LEAD})?(?:{longest(TITLES)})|{longest(LINES)}".replace(" ", "[ |]")
+    hits = F.transform(F.regexp_extract_all(marked, F.lit(f"(?<=\\|)(?:{wrapped})(?=\\|)"), F.lit(0)), lambda s: F.translate(s, "|", " "))
+    found = F.transform(hits, lambda s: F.coalesce(_looked_up(s, table_of), _looked_up(F.regexp_replace(s, f"^{LEAD}", ""), named)))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f";{';;'.join(run)};").alias("run")) for name, run in (*RULES, *JOINED_RULES, *NAME_RULES)])
     # Each identifier is held as ";id;", so that neighbours share no mark and runs cannot overlap.
     held = F.concat(F.lit(";"), F.array_join(F.col("license_sentences"), ";;"), F.lit(";"))
     start = F.struct(held.alias("s"), F.array().cast("array<string>").alias("out"))
@@ -135,21 +181,25 @@ def op9_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    pairs = lambda found: ", ".join(f"('{id_}', '{sentence}')" for sentence, id_ in found)
+    values = pairs((sentence, id_) for id_, sentence in SENTENCES.items())
+    named = pairs((spelled, f"name-{name.lower()}") for spelled, name in (*TITLES.items(), *LINES.items()))
     steps, last = [], "s0"
-    for k, (name, run) in enumerate(RULES, 1):
+    for k, (name, run) in enumerate((*RULES, *NAME_RULES), 1):
         seq = f";{';;'.join(run)};"
         steps.append(f"s{k} AS (SELECT doc_id, ids, replace(s, '{seq}', '|') AS s, CASE WHEN contains(s, '{seq}') AND NOT list_contains(out, '{name}') THEN list_append(out, '{name}') ELSE out END AS out FROM {last})")
         last = f"s{k}"
     return f"""
 WITH known(id, sentence) AS (VALUES {values}),
+named(id, sentence) AS (VALUES {named}),
 m AS (SELECT map(list(sentence), list(id)) AS of FROM known),
+n AS (SELECT map(list(sentence), list(id)) AS titles FROM named),
 p AS (
   SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '\\n|[.!?;:]+(?:[ \\t\\r\\n]|$)'),
                                 lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS parts
   FROM documents
 ),
-i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: of[x]), lambda x: x IS NOT NULL) AS ids FROM p, m),
+i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: coalesce(of[x], titles[regexp_replace(x, '^{LEAD}', '')])), lambda x: x IS NOT NULL) AS ids FROM p, m, n),
 s0 AS (SELECT doc_id, ids, ';' || array_to_string(ids, ';;') || ';' AS s, CAST([] AS VARCHAR[]) AS out FROM i),
 {', '.join(steps)}
 SELECT doc_id, array_to_string(ids, ',') AS license_sentences, array_to_string(out, ',') AS licenses, len(out) > 0 AS licensed FROM {last}

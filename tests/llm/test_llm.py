@@ -466,6 +466,19 @@ def test_license_rules(spark, awkward, empty):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_licenses_by_name_and_identifier(spark):
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("This project is released under the MIT License.", "MIT"), ("MIT License\n\nCopyright (c) 2020 A", "MIT"), (lesser.format("2.1"), "LGPL-2.1-or-later"), (lesser.format("3"), "LGPL-3.0-or-later"),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later\nimport os", "LGPL-2.1-or-later"), ("Distributed under the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("This file is licensed under the\n# Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("Available under the GNU Affero General Public License v3", "AGPL-3.0-only"), ("BSD 3-Clause License\nAll rights reserved.", "BSD-3-Clause"), ("SPDX-License-Identifier: MIT-0", "MIT-0"), (lesser.replace("library", "program").replace("Lesser", "Affero").format(3), "AGPL-3.0-or-later"),
+    ]
+    clean = ["The MIT License was written long ago.", "MIT", "He studied at MIT. License plates are old.", "A license under the sea", "released under the moon", "the new bsd license debate", "SPDX-License-Identifier: LicenseRef-own"]
+    df = spark.createDataFrame([(t,) for t in [*(t for t, _ in cases), *clean]], "text string")
+    assert [r["licenses"] for r in licenses.scan_licenses(df).collect()] == [*([k] for _, k in cases), *([] for _ in clean)]
+
+
+
 @pytest.mark.parametrize("leader", ["", "# ", " * "])
 def test_license_notices_as_they_are_wrapped(spark, leader):
     import textwrap
