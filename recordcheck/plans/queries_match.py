@@ -203,7 +203,7 @@ def lookup_identifiers(spark, sf_dir):
     """What the DOI resolver says, and arXiv records by numbers of any version; what could not be asked is no answer."""
     key = F.col("p_partkey")
     part = table(spark, sf_dir, "part")
-    doi, number = text("10.5555/", key), text("2401.", F.lpad(key.cast("string"), 5, "0"))
+    doi, number = text("10.5555/", key), text(F.floor(key / 100000) + 2401, ".", F.lpad((key % 100000).cast("string"), 5, "0"))
     resolver = part.filter(key % 4 < 3).select(doi.alias("doi_key"), F.when(key % 4 == 0, "OK").when(key % 4 == 1, "NO RECORD FOUND").otherwise("RATE LIMITED").alias("status"), F.when(key % 4 == 0, text("https://x.org/", key)).alias("target"))
     answers = part.filter(key % 3 < 2).select(number.alias("arxiv_id"), F.when(key % 3 == 0, "OK").otherwise("NETWORK UNAVAILABLE").alias("status"), work(title=text(F.col("p_name"), " arXiv")).alias("work"))
     papers = part.select(key.alias("citation_id"), text(number, F.when(key % 2 == 0, "v2").otherwise("")).alias("arxiv_id"))
