@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordcheck.functions.authors import compare_authors, formatted_authors, parse_author, parse_authors
 from recordcheck.functions.identifiers import doi_key, doi_url, find_doi, normalize_pages, pages_equivalent, parse_arxiv_id, parse_doi, year_from
+from recordcheck.functions.latex import strip_markup
 from recordcheck.functions.sql import register_functions
 from recordcheck.functions.text import STOPWORDS, correction_marker, datacite_words, dblp_words, edit_similarity, line_of, normalized, query_words, title_similarity, token_similarity, words
 from recordcheck.functions.titles import base_key, detect_terms, suffixed_keys, wrapped
@@ -246,7 +247,7 @@ def page_url_state(spark, sf_dir):
         F.col("page_id").alias("citation_id"), "url", F.when(k == 4, "http://10.0.0.1/").otherwise(F.col("url")).alias("final_url"),
         F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 503).when(k == 3, F.lit(None)).otherwise(200).cast("int").alias("http"), (k == 3).alias("offline"), (k == 4).alias("redirected"),
         F.when(k == 5, "application/pdf").otherwise("text/html").alias("content_type"), text(doi_tag, F.col("html")).alias("body"),
-        F.when(k >= 6, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("cited_title"), F.when(k < 8, "10.5555/SAME").alias("cited_doi"),
+        F.when(k >= 6, strip_markup(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("cited_title"), F.when(k < 8, "10.5555/SAME").alias("cited_doi"),
     )
     return url_check(rows).select(F.col("citation_id").alias("page_id"), "state")
 
