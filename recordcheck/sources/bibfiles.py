@@ -384,9 +384,11 @@ def read_bibtex(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     return rows.withColumns(changed).drop("range", "chars", "lines", "__chars", "__lines", "__pos")
 
 
-def write_bibtex(texts: DataFrame, path: str, key_col: str = "key", text_col: str = "text", overwrite: bool = True) -> None:
-    """(key, text) -> a file for each name that `safe_filename` makes of a key; keys with one name share its file, in order of key and text."""
+def write_bibtex(texts: DataFrame, path: str, key_col: str = "key", text_col: str = "text", overwrite: bool = True, order_col: str | None = None) -> None:
+    """(key, text) -> a file for each name that `safe_filename` makes of a key; keys with one name share its file, in order of key, of
+    the column `order_col`, if one is given, and of text."""
     texts.sparkSession.dataSource.register(BibtexSource)
-    named = texts.select(safe_filename(key_col).alias("file"), F.col(key_col).alias("__key"), F.col(text_col).alias("text"))
-    dealt = named.repartition("file").sortWithinPartitions("file", "__key", "text").select("file", "text")
+    order = [F.col(c).alias(f"__{n}") for n, c in enumerate((key_col, order_col)) if c]
+    named = texts.select(safe_filename(key_col).alias("file"), *order, F.col(text_col).alias("text"))
+    dealt = named.repartition("file").sortWithinPartitions(*[c for c in named.columns if c != "text"], "text").select("file", "text")
     dealt.write.format("bibtex").mode("overwrite" if overwrite else "append").save(path)
