@@ -32,6 +32,9 @@ class Limits:
     entries: int = 20_000
 
 
+# Items that are handed on together.
+BATCH = 2048
+
 # Fixed value: entries that a list shows at once.
 SHOWN = 500
 
@@ -274,7 +277,10 @@ def parsed_rows(text: str | None, limits: Limits = Limits()) -> list[dict]:
 
 
 def items(files: DataFrame, id_col: str = "file_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """(file_id, text) -> a row for each item of each text. A null text has none."""
+    """(file_id, text) -> a row for each item of each text. A null text has none.
+
+    Texts are dealt over tasks by their id, as a table of a few MB, which one task would read, may hold a million of them.
+    """
     kind = files.schema[id_col].dataType.simpleString()
     ddl = f"file_id {kind}, {ITEM_COLUMNS}"
     schema = _parse_datatype_string(ddl)
@@ -283,13 +289,19 @@ def items(files: DataFrame, id_col: str = "file_id", text_col: str = "text", lim
     blank = dict.fromkeys(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for b in batches:
             for file_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [blank | item | {"file_id": file_id} for item in parsed_rows(text, limits)]
-                for k in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 4096], schema=arrow)
-
-    return files.select(files[id_col].alias("file_id"), files[text_col].cast("string").alias("text")).mapInArrow(run, ddl)
+                rows += [blank | item | {"file_id": file_id} for item in parsed_rows(text, limits)]
+                if len(rows) >= BATCH:
+                    for k in range(0, len(rows), BATCH):
+                        yield pa.RecordBatch.from_pylist(rows[k : k + BATCH], schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    texts = files.select(files[id_col].alias("file_id"), files[text_col].cast("string").alias("text"))
+    return texts.repartition("file_id").mapInArrow(run, ddl)
 
 
 def register(spark: SparkSession) -> None:
