@@ -37,7 +37,7 @@ def needed_definitions(used: DataFrame, own: DataFrame, context: DataFrame | Non
     own = own.select("file_id", "name", "parts")
     if context is None:
         return own
-    own, context = stored(own, "macro-own"), stored(context, "macro-library")
+    own, context = stored(own, "macro-own"), stored(context, "macro-library", sorts=False)
     named = stored(_names(used.select("file_id", "parts").unionByName(own.select("file_id", "parts"))), "macro-names")
     found = own.limit(0)
     for _ in range(depth):

@@ -19,9 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return DEFAULT_FOLDER
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """A table written once and read back: its plan is a scan from then on, and lost executors cost no earlier work."""
+def stored(df: DataFrame, label: str, sorts: bool = True) -> DataFrame:
+    """A table written once and read back: its plan is a scan from then on, and lost executors cost no earlier work.
+
+    It compresses to a small part of its rows, so its bytes would have Spark send it whole through the driver: it joins by sorting,
+    unless `sorts` is False, for what stays small however large the input is.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.hint("merge") if sorts else back
