@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordcheck.config import FAILURES
 from recordcheck.functions.text import normalized, title_similarity
-from recordcheck.operators.candidates import build_candidates, first_fit, group_records, merge_records, select_candidate
+from recordcheck.operators.candidates import build_candidates, first_fit_rows, group_records, merge_records, select_candidate
 from recordcheck.operators.checks import doi_checks
 from recordcheck.operators.prefixes import prefix_pairs
 from recordcheck.operators.score import WRONG_DOI, confidence_for, rounded, weighted_score, year_score
@@ -346,10 +346,10 @@ def precedence_merge(spark, sf_dir):
 def first_fit_groups(spark, sf_dir):
     """Parts of a brand grouped by name in order of arrival."""
     rows = table(spark, sf_dir, "part").withColumn("place", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("int"))
-    earlier = F.collect_list("place").over(Window.partitionBy("p_brand", "p_name").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    item = F.struct("place", earlier.alias("same"), F.array().cast("array<int>").alias("twin"))
-    sets = rows.select("p_brand", item.alias("i")).groupBy("p_brand").agg(first_fit(F.sort_array(F.collect_list("i"))).alias("g"))
-    return sets.select("p_brand", F.explode("g").alias("grp")).groupBy("p_brand", "grp").agg(F.count("*").alias("n"))
+    kind = F.min("place").over(Window.partitionBy("p_brand", "p_name"))
+    rows = rows.select(F.col("p_brand").alias("citation_id"), "place", kind.alias("class"), F.lit(None).cast("int").alias("twin"))
+    sets = first_fit_rows(rows.withColumn("matches", F.when(F.col("place") == F.col("class"), F.array("class"))))
+    return sets.groupBy(F.col("citation_id").alias("p_brand"), F.col("group").alias("grp")).agg(F.count("*").alias("n"))
 
 
 @query(
