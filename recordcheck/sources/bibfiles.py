@@ -376,7 +376,7 @@ def read_bibtex(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     before = Window.partitionBy("file_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = {c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in ("chars", "lines", "pos")}
     bases = raw.filter("kind = 'range'").select("file_id", "range", *sums.values())
-    rows = raw.filter("kind <> 'range'").join(bases, ["file_id", "range"])
+    rows = raw.filter("kind <> 'range'").join(F.broadcast(bases), ["file_id", "range"])  # one row a range
     moved = lambda c, by: (c + by).cast("int")
     at = F.col("__chars")
     inner = lambda f: F.struct(f["name"].alias("name"), *[moved(f[c], at).alias(c) for c in ("name_start", "name_end", "value_start", "value_end")], *[f[c].alias(c) for c in ("raw", "parts", "text", "unresolved")])
