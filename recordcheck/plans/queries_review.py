@@ -31,13 +31,13 @@ def _evaluated(spark, sf_dir: str, mode: str = "clean"):
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     year = F.col("p_size") + 1950
-    parsed = items(part.select("p_partkey", _off_entry().alias("text")), "p_partkey")
+    parsed = stored(items(part.select("p_partkey", _off_entry().alias("text")), "p_partkey"), "parsed")
     cited = build_citations(entries(parsed), fields(parsed))
     record = work(
         title=text(F.col("p_name"), " in Python"), authors=F.array(person(F.lit("Doe"), "Jo")), year=year, venue=text("Journal of ", F.col("p_type")), pages=F.lit("1--9"), doi=text("10.5555/", key),
         type=F.lit("article"), volume=F.lit("4"), sources=from_source("Crossref"),
     )
-    pairs = cited.join(part.select(key.alias("file_id"), record.alias("rec")), "file_id")
+    pairs = cited.join(part.select(key.alias("file_id"), record.alias("rec")).hint("merge"), "file_id")
     pairs = scored(work_keys(work_keys(pairs, "work", "a"), "rec", "b"), "a", "b", "authors_truncated")
     cand = F.struct(F.col("rec").alias("work"), F.array("rec").alias("records"), "score")
     ready = pairs.withColumns({"cand": cand, "doi_checks": F.array().cast(f"array<{CHECK}>"), "url_check": F.lit(None).cast("struct<state:string,label:string,detail:string,final_url:string,page_title:string>"), "existing_keys": F.array("key")})
