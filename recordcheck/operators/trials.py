@@ -6,17 +6,26 @@ of a relation of suggestions show which would not.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordcheck.functions.arrow import arrow_function
-from recordcheck.operators.apply import CHANGE, patched
+from recordcheck.operators.apply import CHANGE, changed
 from recordcheck.operators.review import accept_all, reject_all
 from recordcheck.sources.bibtex import parsed_rows
 
+#: Rows of trials that are handed on together.
+BATCH = 2048
+_TRIED = "trial string, id string, field string, kind string, to string, text string, result string, applied array<string>, changed array<string>"
+
+
+def _entry(text: str | None) -> dict | None:
+    return next((i for i in parsed_rows(text) if i["kind"] == "entry"), None)
+
 
-def _parts(text: str | None) -> dict[str, str]:
-    entry = next((i for i in parsed_rows(text) if i["kind"] == "entry"), None)
+def _parts(entry: dict | None) -> dict[str, str]:
     if entry is None:
         return {}
     first: dict[str, str] = {}
@@ -25,17 +34,33 @@ def _parts(text: str | None) -> dict[str, str]:
     return first | {"KEY": entry["key"], "ENTRYTYPE": entry["type"]}
 
 
+def _differing(a: dict[str, str], b: dict[str, str]) -> list[str]:
+    return sorted(n for n in a.keys() | b.keys() if a.get(n) != b.get(n))
+
+
 def changed_names(before: str | None, after: str | None) -> list[str]:
     """Fields, in lower case, whose value differs, is new or gone, with KEY and ENTRYTYPE for these; sorted."""
-    a, b = _parts(before), _parts(after)
-    return sorted(n for n in a.keys() | b.keys() if a.get(n) != b.get(n))
+    return _differing(_parts(_entry(before)), _parts(_entry(after)))
 
 
-changed_parts = arrow_function(changed_names, "array<string>")
+def _tried(text: str, every: list[dict], bulk: list[str], none: list[str]) -> Iterator[tuple]:
+    """(trial, suggestion, result, applied, changed) of one citation, whose text is read once."""
+    entry = _entry(text)
+    before = _parts(entry)
+    known: dict[tuple[str, ...], tuple] = {}
 
+    def run(taken: list[dict]) -> tuple:
+        key = tuple(s["id"] for s in taken)
+        if key not in known:
+            result, applied, _ = changed(text, entry, taken)
+            known[key] = result, applied, [] if result == text else _differing(before, _parts(_entry(result)))
+        return known[key]
 
-def _taken(suggestions: DataFrame, chosen: Column, name: str) -> DataFrame:
-    return suggestions.filter(chosen).groupBy("citation_id").agg(F.sort_array(F.collect_list(F.struct(*CHANGE))).alias(name))
+    for s in every:
+        yield ("alone", s, *run([s]))
+        yield ("without", s, *run([t for t in every if t["id"] != s["id"]]))
+    for trial, ids in (("bulk", bulk), ("none", none)):
+        yield (trial, None, *run([s for s in every if s["id"] in ids]))
 
 
 def trials(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -44,21 +69,40 @@ def trials(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
 
     trial is `alone` (one accepted) or `without` (all others accepted) for each suggestion, and, with a null id, `bulk` (what bulk
     acceptance takes of undecided ones) and `none` (the same taken back) for each citation that has any. Suggestions of one
-    citation are a few dozen, so they travel as one array; a citation without a text is left out. ids are distinct in a citation.
+    citation are a few dozen, so they travel as one array, and its text is read once for all its trials; a citation without a
+    text is left out. ids are distinct in a citation.
     """
-    fresh = suggestions.withColumn("accepted", F.lit(None).cast("boolean"))
-    bulk = accept_all(fresh)
-    rows = entries.filter("text IS NOT NULL").select("citation_id", "text").join(_taken(fresh, F.lit(True), "every"), "citation_id")
-    rows = rows.join(_taken(bulk, F.coalesce("accepted", F.lit(False)), "bulk"), "citation_id", "left")
-    rows = rows.join(_taken(reject_all(bulk), F.coalesce("accepted", F.lit(False)), "none"), "citation_id", "left")
-    case = lambda trial, one, taken: F.struct(F.lit(trial).alias("trial"), one.alias("one"), taken.alias("taken"))
-    nobody = F.get("every", F.lit(-1))
-    single = F.transform("every", lambda s: case("alone", s, F.array(s)))
-    rest = F.transform("every", lambda s: case("without", s, F.filter("every", lambda t: t["id"] != s["id"])))
-    whole = F.array(case("bulk", nobody, F.col("bulk")), case("none", nobody, F.col("none")))
-    tried = rows.select("citation_id", "text", F.explode(F.concat(single, rest, whole)).alias("t")).select("citation_id", "text", "t.*")
-    done = tried.withColumn("x", patched("text", "taken"))
-    return done.select("citation_id", "trial", "one.id", "one.field", "one.kind", "one.to", "text", "x.result", "x.applied", changed_parts("text", "x.result").alias("changed"))
+    bulk = accept_all(suggestions.withColumn("accepted", F.lit(None).cast("boolean"))).withColumn("__bulk", F.coalesce("accepted", F.lit(False)))
+    taken = reject_all(bulk).withColumn("__none", F.coalesce("accepted", F.lit(False)))
+    ids = lambda chosen: F.collect_list(F.when(F.col(chosen), F.col("id")))
+    gathered = taken.groupBy("citation_id").agg(F.sort_array(F.collect_list(F.struct(*CHANGE))).alias("every"), ids("__bulk").alias("bulk"), ids("__none").alias("none"))
+    rows = entries.filter("text IS NOT NULL").select("citation_id", "text").hint("merge").join(gathered, "citation_id").select("citation_id", "text", "every", "bulk", "none")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[list] = [[] for _ in range(10)]
+
+        def batch(kind: pa.DataType) -> pa.RecordBatch:
+            many, text = pa.list_(pa.string()), pa.string()
+            kinds = [kind, *[text] * 7, many, many]
+            names = ["citation_id", "trial", "id", "field", "kind", "to", "text", "result", "applied", "changed"]
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names)
+            for c in made:
+                c.clear()
+            return done
+
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                for c, text, every, taken, back in zip(*(x.to_pylist() for x in b.slice(k, 256).columns)):
+                    for trial, s, result, applied, differing in _tried(text, every, taken, back):
+                        of = s or {}
+                        for column, value in zip(made, (c, trial, of.get("id"), of.get("field"), of.get("kind"), of.get("to"), text, result, applied, differing)):
+                            column.append(value)
+                    if len(made[0]) >= BATCH:
+                        yield batch(b.schema.field(0).type)
+            if made[0]:
+                yield batch(b.schema.field(0).type)
+
+    return rows.mapInArrow(run, f"citation_id {entries.schema['citation_id'].dataType.simpleString()}, {_TRIED}")
 
 
 def violations(tried: DataFrame) -> DataFrame:

@@ -58,6 +58,12 @@ _DIGITS = re.compile("[0-9]+")
 _BRACE = re.compile("[{}]")
 _QUOTE = re.compile('[{}"]')
 _RESUME = re.compile(r"(?<=\s)@")
+_KEYS = {close: re.compile(rf"[^,{re.escape(close)} \t\n\r\f\v]*") for close in "})"}
+#: A field of one part without braces in it, and the sign after it: most fields are such. All others are read step by step.
+_PLAIN_FIELD = re.compile(
+    r"""[ \t\n\r\f\v]*([^ \t\n\r\f\v{}(),="#@%]+)[ \t\n\r\f\v]*=[ \t\n\r\f\v]*(\{([^{}]*)\}|"([^{}"]*)"|([0-9]+))[ \t\n\r\f\v]*([,)}])"""
+)
+_PLAIN_KINDS = (None, None, None, "braced", "quoted", "number")
 
 
 class BibSyntaxError(ValueError):
@@ -136,14 +142,25 @@ class _Reader:
 
 def _entry(r: _Reader, at: int, kind: tuple[str, int, int], opened: str, close: str) -> dict:
     r.blank()
-    key = re.compile(rf"[^,{re.escape(close)} \t\n\r\f\v]*").match(r.text, r.at)
+    key = _KEYS[close].match(r.text, r.at)
     r.at = key.end()
     after = r.blank()
     if after and after not in ("," + close):
         raise BibSyntaxError(f'Citation key "{key[0]}" is followed by "{after}". BibTeX keys cannot contain spaces or braces.', key.end())
     r.at += after == ","
     fields = []
-    while (sign := r.blank()) != close:
+    while True:
+        plain = _PLAIN_FIELD.match(r.text, r.at)
+        if plain and plain[6] in ("," + close) and plain.end(2) - plain.start(2) <= r.limits.field_chars:
+            kind_of = 3 if plain[3] is not None else 4 if plain[4] is not None else 5
+            part = {"kind": _PLAIN_KINDS[kind_of], "text": plain[kind_of]}
+            fields.append({"name": plain[1], "name_start": plain.start(1), "name_end": plain.end(1), "value_start": plain.start(2), "value_end": plain.end(2), "raw": plain[2], "parts": [part]})
+            if len(fields) > r.limits.fields:
+                raise BibSyntaxError("Too many fields in one entry", plain.start(1))
+            r.at = plain.end() if plain[6] == "," else plain.start(6)
+            continue
+        if (sign := r.blank()) == close:
+            break
         unclosed = BibSyntaxError(f'Entry "{key[0]}" is missing its closing "{close}"', at)
         if not sign:
             raise unclosed
