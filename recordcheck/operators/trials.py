@@ -14,46 +14,33 @@ from pyspark.sql import functions as F
 
 from recordcheck.operators.apply import CHANGE, changed
 from recordcheck.operators.review import accept_all, reject_all
-from recordcheck.sources.bibtex import parsed_rows
+from recordcheck.sources.bibtex import first_parts, parse_bibtex
 
 #: Rows of trials that are handed on together.
 BATCH = 2048
 _TRIED = "trial string, id string, field string, kind string, to string, text string, result string, applied array<string>, changed array<string>"
 
 
-def _entry(text: str | None) -> dict | None:
-    return next((i for i in parsed_rows(text) if i["kind"] == "entry"), None)
-
-
-def _parts(entry: dict | None) -> dict[str, str]:
-    if entry is None:
-        return {}
-    first: dict[str, str] = {}
-    for f in entry["fields"]:
-        first.setdefault(f["name"].lower(), f["text"])
-    return first | {"KEY": entry["key"], "ENTRYTYPE": entry["type"]}
-
-
 def _differing(a: dict[str, str], b: dict[str, str]) -> list[str]:
     return sorted(n for n in a.keys() | b.keys() if a.get(n) != b.get(n))
 
 
 def changed_names(before: str | None, after: str | None) -> list[str]:
     """Fields, in lower case, whose value differs, is new or gone, with KEY and ENTRYTYPE for these; sorted."""
-    return _differing(_parts(_entry(before)), _parts(_entry(after)))
+    return _differing(first_parts(before), first_parts(after))
 
 
 def _tried(text: str, every: list[dict], bulk: list[str], none: list[str]) -> Iterator[tuple]:
     """(trial, suggestion, result, applied, changed) of one citation, whose text is read once."""
-    entry = _entry(text)
-    before = _parts(entry)
+    entry = next((i for i in parse_bibtex(text) if i["kind"] == "entry"), None)
+    before = first_parts(text)
     known: dict[tuple[str, ...], tuple] = {}
 
     def run(taken: list[dict]) -> tuple:
         key = tuple(s["id"] for s in taken)
         if key not in known:
             result, applied, _ = changed(text, entry, taken)
-            known[key] = result, applied, [] if result == text else _differing(before, _parts(_entry(result)))
+            known[key] = result, applied, [] if result == text else _differing(before, first_parts(result))
         return known[key]
 
     for s in every:

@@ -63,6 +63,8 @@ _KEYS = {close: re.compile(rf"[^,{re.escape(close)} \t\n\r\f\v]*") for close in
 _PLAIN_FIELD = re.compile(
     r"""[ \t\n\r\f\v]*([^ \t\n\r\f\v{}(),="#@%]+)[ \t\n\r\f\v]*=[ \t\n\r\f\v]*(\{([^{}]*)\}|"([^{}"]*)"|([0-9]+))[ \t\n\r\f\v]*([,)}])"""
 )
+_PLAIN_HEAD = re.compile(r"""@[ \t\n\r\f\v]*([^ \t\n\r\f\v{}(),="#@%]+)[ \t\n\r\f\v]*\{[ \t\n\r\f\v]*([^,} \t\n\r\f\v]*)[ \t\n\r\f\v]*,""")
+_PLAIN_END = re.compile(r"[ \t\n\r\f\v]*\}")
 _PLAIN_KINDS = (None, None, None, "braced", "quoted", "number")
 
 
@@ -293,6 +295,33 @@ def parsed_rows(text: str | None, limits: Limits = Limits()) -> list[dict]:
     return items
 
 
+def first_parts(text: str | None, limits: Limits = Limits()) -> dict[str, str]:
+    """The first entry's values by lower-cased name, the first of each, with its KEY and ENTRYTYPE; {} if there is none.
+
+    An entry of plain fields at the text's first @ is read without its spans.
+    """
+    text = text or ""
+    head = _PLAIN_HEAD.match(text, max(text.find("@"), 0))
+    if head and len(text) <= limits.file_chars and head[1].lower() not in ("comment", "preamble", "string"):
+        parts: dict[str, str] = {}
+        at, count = head.end(), 0
+        while (m := _PLAIN_FIELD.match(text, at)) and m[6] != ")" and m.end(2) - m.start(2) <= limits.field_chars and count < limits.fields:
+            parts.setdefault(m[1].lower(), m[3] if m[3] is not None else m[4] if m[4] is not None else m[5])
+            at, count = m.end(), count + 1
+            end = m if m[6] == "}" else _PLAIN_END.match(text, at)
+            if end and end.end() - head.start() <= limits.entry_chars:
+                return parts | {"KEY": head[2], "ENTRYTYPE": head[1].lower()}
+            if end:
+                break
+    entry = next((i for i in parsed_rows(text, limits) if i["kind"] == "entry"), None)
+    if entry is None:
+        return {}
+    first: dict[str, str] = {}
+    for f in entry["fields"]:
+        first.setdefault(f["name"].lower(), f["text"])
+    return first | {"KEY": entry["key"], "ENTRYTYPE": entry["type"]}
+
+
 def items(files: DataFrame, id_col: str = "file_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """(file_id, text) -> a row for each item of each text. A null text has none.
 
