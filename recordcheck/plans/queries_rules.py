@@ -13,6 +13,7 @@ from recordcheck.plans.queries_match import from_source, person, work
 from recordcheck.plans.registry import query, table, text
 from recordcheck.schema import CHECK
 from recordcheck.sources.bibtex import entries, fields, items, list_entries, list_summary, shown_choices
+from recordcheck.storage import stored
 
 
 def _evaluated(spark, sf_dir: str, equal: bool = False):
@@ -32,7 +33,7 @@ def _evaluated(spark, sf_dir: str, equal: bool = False):
         .when(v == 6, text("@misc{k", key, ",\n", title, lead, "  year = {", year - 1, "},\n  eprint = {2301.00001},\n  archiveprefix = {arXiv}\n}"))
         .otherwise(text("@article{k", key, ",\n", title, lead, dated, "  journal = {Journal of Parts},\n  doi = {10.5555/other},\n  url = {http://example.org/gone}\n}"))
     )
-    parsed = items(part.select("p_partkey", entry.alias("text")), "p_partkey")
+    parsed = stored(items(part.select("p_partkey", entry.alias("text")), "p_partkey"), "parsed")
     cited = build_citations(entries(parsed), fields(parsed))
     listed = lambda x: F.array(F.lit(x))
     record = work(
@@ -43,7 +44,7 @@ def _evaluated(spark, sf_dir: str, equal: bool = False):
     score = F.struct(
         F.lit(0.97).alias("total"), F.lit(True).alias("identifier_match"), F.array().cast("array<string>").alias("contradictions"), F.lit("VERY HIGH").alias("confidence"), F.lit("VERIFIED").alias("state")
     )
-    pairs = cited.join(part.select(key.alias("file_id"), v.alias("v"), record.alias("rec")), "file_id")
+    pairs = cited.join(part.select(key.alias("file_id"), v.alias("v"), record.alias("rec")).hint("merge"), "file_id")
     gone = F.struct(F.lit("UNREACHABLE").alias("state"), F.lit("x").alias("label"), F.lit("x").alias("detail"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("string").alias("page_title"))
     ready = pairs.withColumns({"cand": F.struct(F.col("rec").alias("work"), F.array("rec").alias("records"), score.alias("score")), "doi_checks": F.array().cast(f"array<{CHECK}>"), "url_check": F.when(F.col("v") == 7, gone), "existing_keys": F.array("key")})
     return evaluate(ready)
@@ -133,7 +134,7 @@ def _evaluated_more(spark, sf_dir: str):
         .when(v == 6, text("@article{k", key, ",\n", title, "  author = {Jo Doe and Al Roe},\n", dated, "  doi = {https://doi.org/10.5555/", key, "},\n  url = {http://example.org/gone},\n", venue))
         .otherwise(text("@misc{k", key, ",\n", title, "  author = {Jo Doe and Al Roe},\n", dated, "  note = {arXiv preprint arXiv:2301.00001}\n}"))
     )
-    parsed = items(part.select("p_partkey", entry.alias("text")), "p_partkey")
+    parsed = stored(items(part.select("p_partkey", entry.alias("text")), "p_partkey"), "parsed")
     cited = build_citations(entries(parsed), fields(parsed))
     given = F.when(v == 3, "Joanna").otherwise("Jo")
     of = lambda source, **more: work(
@@ -142,7 +143,7 @@ def _evaluated_more(spark, sf_dir: str):
     )
     records = F.array(of("Crossref"), of("DBLP", title=F.when(v == 2, text("A Study of ", name)).otherwise(text("A BERT Study of ", name)), year=F.when(v == 2, year + 1).otherwise(year)))
     score = F.struct(F.lit(0.97).alias("total"), F.lit(True).alias("identifier_match"), F.array().cast("array<string>").alias("contradictions"), F.lit("VERY HIGH").alias("confidence"), F.lit("VERIFIED").alias("state"))
-    pairs = cited.join(part.select(key.alias("file_id"), v.alias("v"), records.alias("records")), "file_id")
+    pairs = cited.join(part.select(key.alias("file_id"), v.alias("v"), records.alias("records")).hint("merge"), "file_id")
     cand = F.when(F.col("v") > 0, F.struct(F.get("records", F.lit(0)).alias("work"), "records", score.alias("score")))
     gone = F.struct(F.lit("UNREACHABLE").alias("state"), F.lit("x").alias("label"), F.lit("x").alias("detail"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("string").alias("page_title"))
     return evaluate(pairs.withColumns({"cand": cand, "doi_checks": F.array().cast(f"array<{CHECK}>"), "url_check": F.when(F.col("v") == 6, gone), "existing_keys": F.array("key")}))

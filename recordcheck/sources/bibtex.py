@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from recordcheck.functions.latex import decode_latex
 from recordcheck.schema import ITEM_COLUMNS
+from recordcheck.storage import dealt
 
 
 @dataclass(frozen=True)
@@ -347,7 +348,7 @@ def items(files: DataFrame, id_col: str = "file_id", text_col: str = "text", lim
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     texts = files.select(files[id_col].alias("file_id"), files[text_col].cast("string").alias("text"))
-    return texts.repartition("file_id").mapInArrow(run, ddl)
+    return dealt(texts, "file_id").mapInArrow(run, ddl)
 
 
 def register(spark: SparkSession) -> None:

@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return DEFAULT_FOLDER
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over tasks by keys. The number is given, as Spark would merge parts of less than 1 MB, however much work their rows are."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def stored(df: DataFrame, label: str, sorts: bool = True) -> DataFrame:
     """A table written once and read back: its plan is a scan from then on, and lost executors cost no earlier work.
 

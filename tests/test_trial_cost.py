@@ -34,3 +34,33 @@ def test_plain_fields_as_step_by_step(monkeypatch):
     parts = [bibtex.first_parts(t, limit) for t in texts for limit in limits]
     monkeypatch.undo()
     assert [bibtex.first_parts(t, limit) for t in texts for limit in limits] == parts
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_dealt_over_a_given_number_of_tasks(spark):
+    parsed = bibtex.items(spark.range(60).selectExpr("id", "concat('@misc{k', id, '}') AS text").coalesce(1), "id")
+    assert "REPARTITION_BY_NUM" in plan(parsed) and parsed.count() == 60
+
+
+def test_rules_parse_their_entries_once(spark, monkeypatch):
+    from oracle import SF
+
+    from recordcheck.plans import queries_rules
+
+    class Seen(Exception):
+        pass
+
+    def look(entries, fields):
+        assert "MapInArrow" not in plan(entries) + plan(fields)
+        raise Seen
+
+    monkeypatch.setattr(queries_rules, "build_citations", look)
+    for made in (queries_rules._evaluated, queries_rules._evaluated_more):
+        try:
+            made(spark, SF)
+        except Seen:
+            continue
+        raise AssertionError("the citations were not built")
