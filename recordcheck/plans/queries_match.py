@@ -468,7 +468,7 @@ def entry_candidates(spark, sf_dir):
     """Entries read from text, and the three most similar titles of each: parse, normalise, block, compare, rank."""
     made = text("@book{p", F.col("p_partkey"), ",\n  title = {{", F.initcap("p_name"), "}},\n  year = ", F.col("p_size") + 1950, "\n}")
     titles = fields(items(table(spark, sf_dir, "part").select("p_partkey", made.alias("text")), "p_partkey")).filter("name = 'title'")
-    wanted = titles.select(F.col("file_id").alias("citation_id"), normalized("text").alias("norm_title"))
+    wanted = stored(titles.select(F.col("file_id").alias("citation_id"), normalized("text").alias("norm_title")), "wanted")
     works = table(spark, sf_dir, "part").select("p_name").distinct().select(work(title=F.col("p_name")).alias("work"))
     hits = search_titles(wanted, with_norm_title(works), 3, 0.55)
     return hits.select(F.col("citation_id").alias("p_partkey"), F.col("work.title").alias("found"), F.round("similarity", 6).alias("similarity"), "place")
