@@ -5,8 +5,11 @@ from oracle import SF, same_rows
 from pyspark.sql import functions as F
 from test_growth import plan
 
+from recordcheck.operators.citations import build_citations
 from recordcheck.plans.queries import ORACLE_SQL, QUERIES
+from recordcheck.sources.bibtex import entries, fields, items
 from recordcheck.sources.lookups import search_titles
+from recordcheck.storage import stored
 
 
 def test_entries_are_parsed_once_for_their_candidates(spark):
@@ -37,3 +40,25 @@ def test_candidates_of_repeated_parts(spark, tmp_path):
         if t != "part":
             duckdb.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet' LIMIT 1) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     same_rows(spark, QUERIES["entry_candidates"], ORACLE_SQL["entry_candidates"], str(tmp_path))
+
+
+def _cited(spark, *texts):
+    parsed = stored(items(spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")), "parsed")
+    return build_citations(entries(parsed), fields(parsed))
+
+
+def test_own_fields_are_read_without_a_shuffle(spark):
+    cited = _cited(spark, "@misc{a, Title = {X}, title = {Y}, NOTE = {n}}", "@misc{b}", '@string{s = "S"} @misc{c, series = s # {!}, crossref = {}}')
+    assert "Exchange" not in plan(cited)
+    got = {x["key"]: (x["f"], x["own"], x["inherited"]) for x in cited.collect()}
+    assert got == {"a": ({"title": "X", "note": "n"}, ["note", "title"], []), "b": ({}, [], []), "c": ({"series": "S!", "crossref": ""}, ["crossref", "series"], [])}
+
+
+def test_few_entries_that_name_others(spark):
+    child = "@inproceedings{a, title = {X}, year = 2001, CrossRef = {P}, crossref = {none}, xdata = {q, p}}"
+    cited = _cited(spark, child + "@proceedings{p, title = {All}, year = 1999, publisher = {H}}@xdata{Q, publisher = {other}, volume = 7}", "@proceedings{p, title = {Else}}@misc{z, note = {n}}")
+    got = {(x["file_id"], x["key"]): (x["f"], x["own"], x["inherited"]) for x in cited.collect()}
+    own = {"title": "X", "year": "2001", "crossref": "P", "xdata": "q, p"}
+    assert got[0, "a"] == (own | {"booktitle": "All", "publisher": "H", "volume": "7"}, ["crossref", "title", "xdata", "year"], ["booktitle", "publisher", "volume"])
+    assert got[0, "p"] == ({"title": "All", "year": "1999", "publisher": "H"}, ["publisher", "title", "year"], [])
+    assert got[1, "p"] == ({"title": "Else"}, ["title"], []) and got[1, "z"] == ({"note": "n"}, ["note"], []) and len(got) == 5
