@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordcheck.functions.arrow import arrow_function
+from recordcheck.functions.arrow import arrow_function, text_function
 from recordcheck.functions.binding import bound
 from recordcheck.functions.latex import latex_to_unicode
 
@@ -49,6 +49,8 @@ def normalize_text(text: str | None) -> str:
 folded = arrow_function(fold_diacritics, "string")
 #: Null gives ''. Costs a Python call for each distinct text of a batch: compute it once a record, not once a pair.
 normalized = arrow_function(normalize_text, "string")
+#: The same of whole documents.
+normalized_document = text_function(normalize_text)
 
 
 def words(norm: str | Column) -> Column:

@@ -8,7 +8,7 @@ from recordcheck.functions.authors import compare_authors, formatted_authors, pa
 from recordcheck.functions.identifiers import doi_key, doi_url, find_doi, normalize_pages, pages_equivalent, parse_arxiv_id, parse_doi, year_from
 from recordcheck.functions.latex import strip_markup
 from recordcheck.functions.sql import register_functions
-from recordcheck.functions.text import STOPWORDS, correction_marker, datacite_words, dblp_words, edit_similarity, line_of, normalized, query_words, title_similarity, token_similarity, words
+from recordcheck.functions.text import STOPWORDS, correction_marker, datacite_words, dblp_words, edit_similarity, line_of, normalized, normalized_document, query_words, title_similarity, token_similarity, words
 from recordcheck.functions.titles import base_key, detect_terms, suffixed_keys, wrapped
 from recordcheck.functions.urls import classify_url, plain_url_problem, url_problem
 from recordcheck.functions.venue import is_preprint_venue, venue_abbreviation, venue_acronyms, venue_field, venue_initialisms, venue_keys, venue_similarity
@@ -21,7 +21,7 @@ _FOLD = "trim(regexp_replace(regexp_replace(replace(lower(strip_accents(regexp_r
 
 @query(f"SELECT doc_id, {_FOLD.format('text')} AS norm FROM documents")
 def fold_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", normalized("text").alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", normalized_document("text").alias("norm"))
 
 
 @query(
@@ -30,7 +30,7 @@ def fold_normalize(spark, sf_dir):
     FROM (SELECT doc_id, list_filter(string_split({_FOLD.format('text')}, ' '), lambda x: x <> '') AS w FROM documents)"""
 )
 def token_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", normalized("text").alias("norm")).select("doc_id", words("norm").alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", normalized_document("text").alias("norm")).select("doc_id", words("norm").alias("w"))
     stop = F.filter("w", lambda x: x.isin(*STOPWORDS))
     return rows.select("doc_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens"), F.size(stop).alias("stopwords"))
 
