@@ -2,7 +2,8 @@
 
 A definition may name others, own definitions of a file go before those of its library, and expansion stops at a fixed depth. Which
 of a library's definitions a file needs is found by following names from its fields, a join a step; their texts are then
-built up from the innermost, a join a step, until none changes. Nothing is collected, and libraries may be of any size.
+built up from the innermost, a join a step, until none changes. Files of one library whose own definitions are equal, or that have none,
+are expanded once for all (`_scopes`). Nothing is collected, and libraries may be of any size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,12 @@ from recordcheck.sources.bibtex import MACRO_DEPTH, MONTHS
 from recordcheck.storage import stored
 
 
+#: A file with more definitions, or with longer ones together, is expanded by itself.
+SCOPE_DEFINITIONS, SCOPE_CHARS = 64, 4096
+#: Tables of more rows, or of longer texts together, are not broadcast.
+SMALL_ROWS, SMALL_CHARS = 50_000, 8_000_000
+
+
 def _is_macro(part: Column) -> Column:
     return part["kind"] == "macro"
 
@@ -29,6 +36,35 @@ def _names(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", F.explode(F.filter("parts", _is_macro)).alias("p")).select("file_id", F.lower("p.text").alias("name")).distinct()
 
 
+def _sized(table: DataFrame, chars: Column) -> DataFrame:
+    """A stored table as a side of a join: broadcast only if its rows and characters, which are counted, are few."""
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars")).first()
+    return F.broadcast(table) if size["n"] <= SMALL_ROWS and size["chars"] <= SMALL_CHARS else table
+
+
+def _spelled_chars(parts: str) -> Column:
+    return F.char_length(F.to_json(parts)).cast("bigint")
+
+
+def _scopes(used: DataFrame, own: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(file_id, scope) of the files in `used`, and own definitions and links with the scope as file_id.
+
+    In one scope are files of one library with equal definitions of their own: whatever they name has one text. The scope spells out
+    both, so that no two meet by chance; files with many definitions have scopes of their own.
+    """
+    sizes = own.groupBy("file_id").agg(F.count("*").alias("n"), F.sum(_spelled_chars("parts") + F.char_length("name")).alias("chars"))
+    many = (F.col("n") > SCOPE_DEFINITIONS) | (F.col("chars") > SCOPE_CHARS)
+    few = own.join(sizes.filter(~many).select("file_id"), "file_id").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("name", "parts"))).alias("defined"))
+    files = used.select("file_id").distinct()
+    files = files.join(links.select("file_id", "library").hint("merge"), "file_id", "left") if links is not None else files.withColumn("library", F.lit(None).cast("string"))
+    files = files.join(few.hint("merge"), "file_id", "left").join(sizes.filter(many).select("file_id", F.col("file_id").alias("alone")).hint("merge"), "file_id", "left")
+    files = stored(files.withColumn("scope", F.to_json(F.struct("library", "defined", "alone"))), "macro-scopes")
+    shared = files.filter("defined IS NOT NULL").select("scope", "defined").distinct().select(F.col("scope").alias("file_id"), F.explode("defined").alias("d")).select("file_id", "d.name", "d.parts")
+    single = files.filter("alone IS NOT NULL").select("file_id", "scope").join(own, "file_id").select(F.col("scope").alias("file_id"), "name", "parts")
+    linked = None if links is None else stored(files.filter("library IS NOT NULL").select(F.col("scope").alias("file_id"), "library").distinct(), "macro-links")
+    return files.select("file_id", "scope"), shared.unionByName(single), linked
+
+
 def needed_definitions(used: DataFrame, own: DataFrame, context: DataFrame | None = None, links: DataFrame | None = None, depth: int = MACRO_DEPTH) -> DataFrame:
     """(file_id, name, parts): all own definitions, and those of the file's library that expanding the parts of `used` can reach.
 
@@ -37,7 +73,8 @@ def needed_definitions(used: DataFrame, own: DataFrame, context: DataFrame | Non
     own = own.select("file_id", "name", "parts")
     if context is None:
         return own
-    own, context = stored(own, "macro-own"), stored(context, "macro-library", sorts=False)
+    own = stored(own, "macro-own")
+    context = _sized(stored(context, "macro-library"), _spelled_chars("parts"))
     named = stored(_names(used.select("file_id", "parts").unionByName(own.select("file_id", "parts"))), "macro-names")
     found = own.limit(0)
     for _ in range(depth):
@@ -49,7 +86,7 @@ def needed_definitions(used: DataFrame, own: DataFrame, context: DataFrame | Non
         got = stored(got.select("file_id", "name", "parts"), "macro-found")
         if got.limit(1).count() == 0:
             break
-        found = found.unionByName(got)
+        found = found.unionByName(got).hint("merge")  # a hint does not reach through a union
         named = _names(got)
     return own.unionByName(found)
 
@@ -60,11 +97,11 @@ def _spelled(part: Column) -> Column:
     return F.coalesce(months[F.lower(part["text"])], part["text"])
 
 
-def _joined(rows: DataFrame, key: list[str], texts: DataFrame) -> DataFrame:
-    """key, parts -> key, text, unresolved, with macros replaced by `texts` (file_id, name, text, unresolved) where they have one."""
-    parts = rows.select(*key, F.posexplode("parts").alias("nth", "p"))
+def _joined(rows: DataFrame, key: list[str], texts: DataFrame, scope: str = "file_id") -> DataFrame:
+    """key, parts -> key, text, unresolved, with macros replaced by `texts` (scope, name, text, unresolved) where they have one."""
+    parts = rows.select(*dict.fromkeys([*key, scope]), F.posexplode("parts").alias("nth", "p"))
     texts = texts.withColumnsRenamed({"name": "__name", "text": "__text", "unresolved": "__lost"})
-    met = parts.withColumn("__name", F.when(_is_macro(F.col("p")), F.lower("p.text"))).join(texts, ["file_id", "__name"], "left")
+    met = parts.withColumn("__name", F.when(_is_macro(F.col("p")), F.lower("p.text"))).join(texts, [scope, "__name"], "left")
     month = F.lower("p.text").isin(*MONTHS)
     lost = F.when(F.col("__name").isNotNull() & ~month, F.array("p.text")).otherwise(F.array().cast("array<string>"))
     text = F.coalesce("__text", F.when(F.col("__name").isNotNull(), _spelled(F.col("p"))).otherwise(F.col("p.text")))
@@ -110,8 +147,15 @@ def with_definitions(rows: DataFrame, own: DataFrame, context: DataFrame | None
     plain = ~F.exists("parts", _is_macro)
     key = ["file_id", "pos", "field_pos"]
     used = stored(rows.filter(~plain).select(*key, "parts"), "macro-fields")
-    texts = expanded_definitions(needed_definitions(used, own, context, links))
-    put = _joined(used, key, texts).withColumnsRenamed({"text": "__text", "unresolved": "__unresolved"})
+    if context is None:
+        put = _joined(used, key, expanded_definitions(own.select("file_id", "name", "parts")))
+    else:
+        files, own, links = _scopes(used, stored(own.select("file_id", "name", "parts"), "macro-own"), links)
+        used = stored(used.join(files, "file_id"), "macro-scoped")
+        named = used.select(F.col("scope").alias("file_id"), F.filter("parts", _is_macro).alias("parts")).distinct()
+        texts = expanded_definitions(needed_definitions(named, own, context, links)).withColumnRenamed("file_id", "scope")
+        put = _joined(used, key, _sized(texts, F.char_length("text") + F.char_length("scope")), "scope")
+    put = put.withColumnsRenamed({"text": "__text", "unresolved": "__unresolved"})
     joined = rows.join(put, key, "left")
     none = F.array().cast("array<string>")
     return joined.withColumn("text", F.coalesce("__text", plain_text("parts"))).withColumn("unresolved", F.coalesce("__unresolved", none)).drop("__text", "__unresolved")
