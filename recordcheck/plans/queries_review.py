@@ -198,7 +198,7 @@ def line_diff_counts(spark, sf_dir):
 def _tried(spark, sf_dir: str):
     """Trials of all suggestions made for parts."""
     texts = table(spark, sf_dir, "part").select(text(F.col("p_partkey"), ":0").alias("citation_id"), _off_entry().alias("text"))
-    return trials(texts, stored(suggestion_rows(_evaluated(spark, sf_dir)), "tried-suggestions"))
+    return trials(texts, stored(suggestion_rows(_evaluated(spark, sf_dir)), "tried-suggestions"), ("trial", "field", "changed"))
 
 
 @query(

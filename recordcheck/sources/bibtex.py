@@ -61,11 +61,11 @@ _QUOTE = re.compile('[{}"]')
 _RESUME = re.compile(r"(?<=\s)@")
 _KEYS = {close: re.compile(rf"[^,{re.escape(close)} \t\n\r\f\v]*") for close in "})"}
 #: A field of one part without braces in it, and the sign after it: most fields are such. All others are read step by step.
+# Braces in braces are read one deep; behind a comma the brace that closes the entry, if it comes next.
 _PLAIN_FIELD = re.compile(
-    r"""[ \t\n\r\f\v]*([^ \t\n\r\f\v{}(),="#@%]+)[ \t\n\r\f\v]*=[ \t\n\r\f\v]*(\{([^{}]*)\}|"([^{}"]*)"|([0-9]+))[ \t\n\r\f\v]*([,)}])"""
+    r"""[ \t\n\r\f\v]*([^ \t\n\r\f\v{}(),="#@%]+)[ \t\n\r\f\v]*=[ \t\n\r\f\v]*(\{([^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+)\}|"([^{}"]*)"|([0-9]+))[ \t\n\r\f\v]*(?:(,)(?:[ \t\n\r\f\v]*(\}))?|([)}]))"""
 )
 _PLAIN_HEAD = re.compile(r"""@[ \t\n\r\f\v]*([^ \t\n\r\f\v{}(),="#@%]+)[ \t\n\r\f\v]*\{[ \t\n\r\f\v]*([^,} \t\n\r\f\v]*)[ \t\n\r\f\v]*,""")
-_PLAIN_END = re.compile(r"[ \t\n\r\f\v]*\}")
 _PLAIN_KINDS = (None, None, None, "braced", "quoted", "number")
 
 
@@ -154,13 +154,13 @@ def _entry(r: _Reader, at: int, kind: tuple[str, int, int], opened: str, close:
     fields = []
     while True:
         plain = _PLAIN_FIELD.match(r.text, r.at)
-        if plain and plain[6] in ("," + close) and plain.end(2) - plain.start(2) <= r.limits.field_chars:
+        if plain and (plain[6] or plain[8] == close) and plain.end(2) - plain.start(2) <= r.limits.field_chars and (r.limits.depth > 1 or "{" not in plain[2][1:]):
             kind_of = 3 if plain[3] is not None else 4 if plain[4] is not None else 5
             part = {"kind": _PLAIN_KINDS[kind_of], "text": plain[kind_of]}
             fields.append({"name": plain[1], "name_start": plain.start(1), "name_end": plain.end(1), "value_start": plain.start(2), "value_end": plain.end(2), "raw": plain[2], "parts": [part]})
             if len(fields) > r.limits.fields:
                 raise BibSyntaxError("Too many fields in one entry", plain.start(1))
-            r.at = plain.end() if plain[6] == "," else plain.start(6)
+            r.at = plain.end(6) if plain[6] else plain.start(8)
             continue
         if (sign := r.blank()) == close:
             break
@@ -306,14 +306,17 @@ def first_parts(text: str | None, limits: Limits = Limits()) -> dict[str, str]:
     if head and len(text) <= limits.file_chars and head[1].lower() not in ("comment", "preamble", "string"):
         parts: dict[str, str] = {}
         at, count = head.end(), 0
-        while (m := _PLAIN_FIELD.match(text, at)) and m[6] != ")" and m.end(2) - m.start(2) <= limits.field_chars and count < limits.fields:
-            parts.setdefault(m[1].lower(), m[3] if m[3] is not None else m[4] if m[4] is not None else m[5])
-            at, count = m.end(), count + 1
-            end = m if m[6] == "}" else _PLAIN_END.match(text, at)
-            if end and end.end() - head.start() <= limits.entry_chars:
-                return parts | {"KEY": head[2], "ENTRYTYPE": head[1].lower()}
-            if end:
+        while m := _PLAIN_FIELD.match(text, at):
+            name, raw, braced, quoted, number, _, shut, sign = m.groups()
+            if sign == ")" or count >= limits.fields or len(raw) > limits.field_chars or (limits.depth < 2 and "{" in raw[1:]):
                 break
+            parts.setdefault(name.lower(), braced if braced is not None else quoted if quoted is not None else number)
+            at, count = m.end(), count + 1
+            if shut or sign:
+                if at - head.start() > limits.entry_chars:
+                    break
+                parts["KEY"], parts["ENTRYTYPE"] = head[2], head[1].lower()
+                return parts
     entry = next((i for i in parsed_rows(text, limits) if i["kind"] == "entry"), None)
     if entry is None:
         return {}

@@ -64,3 +64,29 @@ def test_rules_parse_their_entries_once(spark, monkeypatch):
         except Seen:
             continue
         raise AssertionError("the citations were not built")
+
+
+def test_braces_in_braces_are_read_in_one_step(monkeypatch):
+    """Plain entries, and ones with braces one deep, are not read step by step, and are read as step by step."""
+    r = random.Random(6)
+    pieces = ["{", "}", "{x}", "{{y} z}", "{a {b} c}", '"', "#", ",", "=", " ", "\n", "x = {y}", "x = {}", "year = 12", "},", "title = {{Python} and {C} in {{d}}},", "author = {A {B} c},", '\\{', 't = "q"', ")"]
+    texts = ["@book{k, " + "".join(r.choice(pieces) for _ in range(r.randint(1, 12))) + "}" for _ in range(6000)]
+    limits = bibtex.Limits(), bibtex.Limits(fields=2, field_chars=6, entry_chars=40, depth=2), bibtex.Limits(depth=1)
+    fast = [(bibtex.first_parts(t, limit), bibtex.parsed_rows(t, limit)) for t in texts for limit in limits]
+    monkeypatch.setattr(bibtex, "_PLAIN_FIELD", re.compile("(?!)"))
+    assert [(bibtex.first_parts(t, limit), bibtex.parsed_rows(t, limit)) for t in texts for limit in limits] == fast
+    monkeypatch.undo()
+    monkeypatch.setattr(bibtex, "parsed_rows", lambda *_: [])
+    assert bibtex.first_parts("@misc{k, title = {In {Python} and {C}}, year = 2001,\n}") == {"title": "In {Python} and {C}", "year": "2001", "KEY": "k", "ENTRYTYPE": "misc"}
+
+
+def test_only_wanted_columns_of_trials_are_made(spark):
+    made = "ordinal long, id string, field string, kind string, value string, term string, to string, category string, grp string, accepted boolean"
+    rows = [(1, 0, "s0", "year", "set", "2002", None, None, "conflict", None, None), (1, 1, "s1", "KEY", "set", "z", None, None, "key", None, None), (2, 0, "s0", "note", "remove", None, None, None, "missing", None, None)]
+    suggestions = spark.createDataFrame(rows, "citation_id long, " + made)
+    entries = spark.createDataFrame([(1, "@misc{k, year = 2001}"), (2, "@misc{k, note = {x}}"), (3, "@misc{k}")], "citation_id long, text string")
+    whole = module.trials(entries, suggestions)
+    few = module.trials(entries, suggestions, ("trial", "field", "changed"))
+    assert few.columns == ["citation_id", "trial", "field", "changed"]
+    got = sorted(map(repr, few.collect()))
+    assert got == sorted(map(repr, whole.select(*few.columns).collect())) and len(got) == 10
